@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, secrets, simhash, tokens, warc
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_fingerprints}
+    return {
+        "op1_simhash": simhash.op1_fingerprints,
+        "op2_quality": quality.op2_quality,
+        "op3_secrets": secrets.op3_secrets,
+        "op4_warc": warc.op4_warc,
+        "op5_token_orc": tokens.op5_token_orc,
+        "op7_token_counts": tokens.op7_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE}
