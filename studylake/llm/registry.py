@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, tokens, warc
+from . import decontaminate, licenses, mixing, near_dedup, quality, secrets, simhash, tokens, warc
 
 
 def queries() -> dict:
@@ -12,7 +12,11 @@ def queries() -> dict:
         "op3_secrets": secrets.op3_secrets,
         "op4_warc": warc.op4_warc,
         "op5_token_orc": tokens.op5_token_orc,
+        "op6_mix": mixing.op6_mix,
         "op7_token_counts": tokens.op7_token_counts,
+        "op8_licenses": licenses.op8_licenses,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
