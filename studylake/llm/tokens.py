@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, parts, running_sum
+from .common import arrow_batches, new_path, parts, running_sum
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 20_000, 256  # code points
@@ -172,8 +172,9 @@ def placed(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def token_file_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    write_token_orc(docs, path)
-    return placed(read_token_orc(spark, path))
+    with arrow_batches(spark, 1000):
+        write_token_orc(docs, path)
+        return placed(read_token_orc(spark, path))
 
 
 def op5_token_orc(spark, sf_dir: str) -> DataFrame:
