@@ -31,6 +31,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 20_000, 256  # code points
 KNOWN_UNITS, UNIT_CHARS = 400_000, 48  # units of which a worker remembers the ids: at most so many, so long
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s | \s|^ | $")  # without a match each space stands alone between other characters
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,24 +64,27 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, text: str) -> list[str]:
-        first, *rest = _GAP.split(text)
-        return [first, *(" " + x for x in rest)]
-
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
         if not self.cuttable:
             return self._encode([text])[0]
-        known, units = self.known, self.units(text)
-        missing = [u for u in set(units) if u not in known]
+        if _WIDE.search(text):
+            first, *rest = _GAP.split(text)
+        else:
+            first, *rest = text.split(" ")
+        known, here = self.known, {}  # known has units by what follows their space
+        missing = [u for u in set(rest) if u not in known]
         if missing:
-            new = dict(zip(missing, self._encode(missing), strict=True))
+            here = dict(zip(missing, self._encode([" " + u for u in missing]), strict=True))
             if len(known) < KNOWN_UNITS:
-                known.update((u, x) for u, x in new.items() if len(u) <= UNIT_CHARS)
-            return b"".join([known[u] if u in known else new[u] for u in units])
-        return b"".join(map(known.__getitem__, units))
+                known.update((u, x) for u, x in here.items() if len(u) <= UNIT_CHARS)
+        head = self._encode([first])[0]
+        try:
+            return head + b"".join(map(known.__getitem__, rest))
+        except KeyError:
+            return head + b"".join([here[u] if u in here else known[u] for u in rest])
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         return len(self.ids(text)) // 4 if len(text) <= chunk or not self.cuttable else self.spliced(text, chunk, overlap)
