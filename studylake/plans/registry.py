@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, planning, retrieval, statistics, study
 from ..sources import views
+from . import oracle_sessions, sessions
 from .oracle import SQL
 
 EVENTS_TODAY, ORDERS_TODAY = "2024-01-31", "1998-08-02"
@@ -118,8 +119,9 @@ def queries() -> dict:
         "upcoming": lambda k, d: planning.upcoming(p(k, d), s(k, d), ORDERS_TODAY),
         "habit_misses": lambda k, d: planning.habit_misses(views.habit_log(k, d), EVENTS_TODAY),
         "habit_stability": lambda k, d: planning.habit_stability(views.habit_log(k, d)),
+        **sessions.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | oracle_sessions.SQL
