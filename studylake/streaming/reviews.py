@@ -1,9 +1,16 @@
-"""Reviews as a stream: daily counts with late rows and repeated ids taken out."""
+"""Reviews as a stream: daily counts with late rows and repeated ids taken out, and card states."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.memory import DECAY, FACTOR, LEAST_STABILITY, WEIGHTS
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -17,3 +24,53 @@ def daily_counts(events: DataFrame, lateness: str = "3 days") -> DataFrame:
     once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
     days = once.groupBy(F.window("ts", "1 day").alias("w"))
     return days.agg(F.count(F.lit(1)).alias("reviews"), F.round(F.sum(F.least(F.lit(120.0), F.col("value"))) / 60, 1).alias("minutes")).select(F.to_date("w.start").alias("day"), "reviews", "minutes")
+
+
+STATE = "s double, d double, reps int, lapses int, last double"
+
+
+def card_changes(reviews: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """Each card's memory state after every micro-batch that reviews it; the row with the most reps is its latest.
+
+    reviews: card, at, ord, grade (1 to 4). A card's reviews are applied in order within a batch; one that
+    comes in a later batch than its successor is applied when it comes, with no time elapsed. The state
+    kept is five numbers a card.
+    """
+    w = weights or WEIGHTS
+
+    def after(s: float, d: float, grade: int, elapsed: float) -> tuple[float, float]:
+        def bounded(x: float) -> float:
+            return min(10.0, max(1.0, x))
+
+        if s <= 0:
+            return max(LEAST_STABILITY, w[grade - 1]), bounded(w[4] - math.exp(w[5] * (grade - 1)) + 1)
+        easy = bounded(w[4] - math.exp(w[5] * 3) + 1)
+        d = bounded(w[7] * easy + (1 - w[7]) * (d - w[6] * (grade - 3) * (10 - d) / 9))
+        forgotten = 1 - (1 + FACTOR * elapsed / s) ** DECAY
+        if elapsed < 1:
+            s *= math.exp(w[17] * (grade - 3 + w[18]))
+        elif grade == 1:
+            s = min(s, w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp(w[14] * forgotten))
+        else:
+            gain = math.exp(w[8]) * (11 - d) * s ** -w[9] * (math.exp(w[10] * forgotten) - 1)
+            s *= 1 + gain * {2: w[15], 4: w[16]}.get(grade, 1.0)
+        return max(LEAST_STABILITY, s), d
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s, d, reps, lapses, last = state.get if state.exists else (0.0, 0.0, 0, 0, 0.0)
+        for r in pd.concat(list(batches)).sort_values(["t", "ord"]).itertuples():
+            s, d = after(s, d, int(r.grade), max(0.0, r.t - last))
+            reps, lapses, last = reps + 1, lapses + (r.grade == 1), max(last, r.t)
+        now = (float(s), float(d), int(reps), int(lapses), float(last))
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["card", "s", "d", "reps", "lapses", "last"])
+
+    seconds = F.expr("unix_micros(cast(at as timestamp)) / 86400e6")
+    rows = reviews.select("card", seconds.alias("t"), "ord", "grade")
+    return rows.groupBy("card").applyInPandasWithState(fold, f"card bigint, {STATE}", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def reviews_of(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    grade = F.when(kind == "error", 1).when(kind == "signup", 2).when(kind == "purchase", 4).otherwise(3)
+    return events.select(F.col("user_id").alias("card"), F.col("ts").alias("at"), F.col("event_id").alias("ord"), grade.alias("grade"))
