@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what they miss.
 
-The battery looks at each run of 20 or more token characters outside the fixed patterns' spans. It
-infers the encoding (hex, base32, base62, base64) from the characters and tests the run against uniform
+The battery looks at each run of 20 or more token characters outside the fixed patterns' spans. Runs are
+cut at '=', so a value is tested without its name; a value with + or / and - or _, which no alphabet holds,
+is cut at the ones and at the others, with the p-values doubled. Parts of 20 or more are tested. It infers the encoding (hex, base32, base62, base64) from the characters and tests the run against uniform
 draws from that alphabet: chi-squared over as many equal cells as the length allows, the number of runs
 above and below the middle code, and the serial correlation of neighbours. A run that is not random by
 these (Bonferroni over the three) is none. Ordinary tokens seldom change between digits, small and
@@ -33,6 +34,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 
+VALUE, NO_URL, NO_PLAIN = (re.compile(x) for x in ("[^=]+", "[^=_-]+", "[^=+/]+"))
 SHORTEST = 20  # of a run for the battery; no access or hex match that counts is shorter
 RANDOM_ALPHA, FDR = 0.001, 0.01
 ORDINARY_CHANGE = 0.12  # an ordinary token's chance that the class of characters changes at a step
@@ -123,21 +125,39 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     return sorted(out)
 
 
+def random_p(token: str) -> float:
+    """The chance that an ordinary token looks as random as this one; 1 if no alphabet holds it or the battery rejects it."""
+    name = inferred(token)
+    if not name:
+        return 1.0
+    alphabet = ALPHABETS[name]
+    codes = np.array([alphabet.index(c) for c in token])
+    return ordinary_p(token, alphabet) if randomness(codes, len(alphabet)) >= RANDOM_ALPHA else 1.0
+
+
+def pieces(token: str) -> list[list[tuple[int, int, int]]]:
+    """Parts of a run, a list for each value between '=': (start, end, ways to cut). Where no alphabet holds a value it is cut at - and _, and at + and /."""
+    out = []
+    for m in VALUE.finditer(token):
+        cuts = (VALUE,) if inferred(m[0]) else (NO_URL, NO_PLAIN)
+        out.append([(m.start() + x.start(), m.start() + x.end(), len(cuts)) for cut in cuts for x in cut.finditer(m[0]) if x.end() - x.start() >= SHORTEST])
+    return out
+
+
 def random_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], fdr: float = FDR) -> list[tuple[int, int, int]]:
     tried = []
     for s, e in runs:
-        token = text[s:e].strip("=")
-        s += len(text[s:e]) - len(text[s:e].lstrip("="))
-        e = s + len(token)
-        if len(token) < SHORTEST or any(a <= s and e <= b for a, _, b in base):
-            continue
-        name, p = inferred(token), 1.0
-        if name:
-            alphabet = ALPHABETS[name]
-            codes = np.array([alphabet.index(c) for c in token])
-            if randomness(codes, len(alphabet)) >= RANDOM_ALPHA:
-                p = ordinary_p(token, alphabet)
-        tried.append((p, s, e))
+        for parts in pieces(text[s:e]):
+            found: list[tuple[float, int, int]] = []
+            for a, b, ways in parts:
+                a, b = s + a, s + b
+                if not any(x <= a and b <= y for x, _, y in base):
+                    found.append((min(1.0, ways * random_p(text[a:b])), a, b))
+            taken: list[tuple[float, int, int]] = []  # of parts that overlap, from both ways to cut, the likeliest
+            for p, a, b in sorted(found, key=lambda f: (f[0], f[1] - f[2])):
+                if all(b <= x or y <= a for _, x, y in taken):
+                    taken.append((p, a, b))
+            tried += taken
     tried.sort()
     passed = max((i for i, (p, _, _) in enumerate(tried, 1) if p <= fdr * i / len(tried)), default=0)
     return [(s, 3, e) for _, s, e in tried[:passed]]
