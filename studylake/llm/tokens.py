@@ -19,9 +19,12 @@ import functools
 import os
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +32,9 @@ from .common import arrow_batches, new_path, parts, running_sum
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 20_000, 256  # code points
-KNOWN_UNITS, UNIT_CHARS = 400_000, 48  # units of which a worker remembers the ids: at most so many, so long
+KNOWN_UNITS = 1_000_000  # units of which a worker remembers the ids: about so many
+STEP_BYTES = 8 << 20  # of text that is encoded at once
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_WIDE = re.compile(r"\s | \s|^ | $")  # without a match each space stands alone between other characters
 
 
 def vocabulary_path(name: str) -> str:
@@ -43,11 +46,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    behind = np.cumsum(sizes)
+    return np.repeat(starts - behind + sizes, sizes) + np.arange(behind[-1] if len(behind) else 0)
+
+
 class Encoder:
     """One process's tokenizer. ids() gives what the library gives for the whole text.
 
     With a byte-level pre-tokenizer a single space between two other characters always starts a
-    pre-token, so the text is cut there and the ids of each unit, once encoded, are kept.
+    pre-token, so the text is cut there and the ids of each unit are remembered.
     """
 
     def __init__(self, path: str):
@@ -59,35 +68,87 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.cuttable = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None and not any(a.lstrip or a.rstrip or a.single_word or re.search(r"\s", a.content) for a in added)
         self.margin = 8 + max((len(a.content) for a in added), default=0)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+        space = pre.pre_tokenize_str(" ")[0][0] if self.cuttable else " "
+        self.spaced = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), dtype=bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.again = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's ids."""
+        every = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+        return np.fromiter(chain.from_iterable(every), dtype="<u4", count=int(sizes.sum())), sizes
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode, of units without spaces behind a space each: joined, a few thousand at once; a unit begins where an id's text begins with a space."""
+        joined = ["".join(" " + u for u in units[i : i + 4000]) for i in range(0, len(units), 4000)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+        first = np.flatnonzero(self.spaced[ids])
+        return (ids, np.diff(first, append=len(ids))) if len(first) == len(units) else self._encode([" " + u for u in units])
+
+    def _slots(self, units: list[str]) -> np.ndarray:
+        """The place in memory of the ids of each unit behind its space.
+
+        No ids stand there where white space follows that space, which then starts no pre-token.
+        What hasn't been asked for again when the memory is full is forgotten.
+        """
+        if len(self.sizes) > KNOWN_UNITS:
+            kept = np.flatnonzero(self.again)
+            kept = kept if len(kept) <= KNOWN_UNITS // 2 else kept[:0]
+            names = list(self.known)
+            self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+            self.flat = self.flat[_spread(self.starts[kept], self.sizes[kept])]
+            self.sizes = self.sizes[kept]
+            self.starts, self.again = np.cumsum(self.sizes) - self.sizes, np.zeros(len(kept), dtype=bool)
+        slots = np.fromiter(map(self.known.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = np.flatnonzero(slots < 0)
+        self.again[slots[slots >= 0]] = True
+        if len(new):
+            names = [units[i] for i in new.tolist()]
+            plain = np.array([bool(u) and not u[0].isspace() for u in names])
+            ids, sizes = self._encode_units([u for u, p in zip(names, plain.tolist(), strict=True) if p])
+            every = np.zeros(len(new), dtype=np.int64)
+            every[plain] = sizes
+            slots[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.known.update(zip(names, slots[new].tolist(), strict=True))
+            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(every) - every)
+            self.flat, self.sizes = np.append(self.flat, ids), np.append(self.sizes, every)
+            self.again = np.append(self.again, np.zeros(len(new), dtype=bool))
+        return slots
+
+    def ids(self, text: str) -> np.ndarray:
+        first, *rest = _GAP.split(text) if self.cuttable else [text]
+        return self._encode([first, *(" " + u for u in rest)])[0]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's ids.
+
+        Equal units of the batch are looked up or encoded once; the rest is done on whole arrays.
+        """
         if not self.cuttable:
-            return self._encode([text])[0]
-        if _WIDE.search(text):
-            first, *rest = _GAP.split(text)
-        else:
-            first, *rest = text.split(" ")
-        known, here = self.known, {}  # known has units by what follows their space
-        missing = [u for u in set(rest) if u not in known]
-        if missing:
-            here = dict(zip(missing, self._encode([" " + u for u in missing]), strict=True))
-            if len(known) < KNOWN_UNITS:
-                known.update((u, x) for u, x in here.items() if len(u) <= UNIT_CHARS)
-        head = self._encode([first])[0]
-        try:
-            return head + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            return head + b"".join([here[u] if u in here else known[u] for u in rest])
+            return self._encode(texts.to_pylist())
+        lists = pc.split_pattern(texts, " ")
+        flat = lists.flatten()
+        at = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        units = flat.dictionary_encode()
+        slots = self._slots(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        starts, sizes = self.starts[slots], self.sizes[slots]
+        wide = sizes == 0
+        wide[at] = False
+        own = {i: self.ids(texts[i].as_py()) for i in np.flatnonzero(np.logical_or.reduceat(wide, at)).tolist()}
+        head_ids, head_sizes = self._encode(flat.take(pa.array(at)).to_pylist())
+        starts[at], sizes[at] = len(self.flat) + np.cumsum(head_sizes) - head_sizes, head_sizes
+        extra, begin = [head_ids], len(self.flat) + len(head_ids)
+        for i, ids in own.items():
+            sizes[at[i] : at[i + 1] if i + 1 < len(at) else len(sizes)] = 0
+            starts[at[i]], sizes[at[i]] = begin, len(ids)
+            extra.append(ids)
+            begin += len(ids)
+        return np.concatenate([self.flat, *extra])[_spread(starts, sizes)], np.add.reduceat(sizes, at)
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        return len(self.ids(text)) // 4 if len(text) <= chunk or not self.cuttable else self.spliced(text, chunk, overlap)
+        return len(self.ids(text)) if len(text) <= chunk or not self.cuttable else self.spliced(text, chunk, overlap)
 
     def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Where pre-tokens end in the text, and the number of tokens up to there; 0 comes first."""
@@ -127,30 +188,60 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def steps(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts without nulls, in slices of about STEP_BYTES."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy())
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(upto, STEP_BYTES + (upto[begin - 1] if begin else 0), "right")))
+        yield texts[begin:end]
+        begin = end
+
+
 def token_count(text: Column, tokenizer: str = TOKENIZER, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        e = encoder(vocabulary_path(tokenizer))
-        return pd.Series([e.count(t or "", chunk, overlap) for t in texts], dtype="int64")
+    """The number of tokens. Texts of more than chunk code points are encoded in overlapping chunks if the vocabulary is a byte-level one, else whole."""
+
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        e, out = encoder(vocabulary_path(tokenizer)), []
+        for part in steps(texts):
+            huge = pc.greater(pc.utf8_length(part), chunk).to_numpy(zero_copy_only=False) if e.cuttable else np.zeros(len(part), dtype=bool)
+            n = np.zeros(len(part), dtype=np.int64)
+            if not huge.all():
+                n[~huge] = e.batch(part.filter(pa.array(~huge)))[1]
+            for i in np.flatnonzero(huge).tolist():
+                n[i] = e.count(part[i].as_py(), chunk, overlap)
+            out.append(n)
+        return pa.array(np.concatenate(out) if out else [], type=pa.int64())
 
     return count(text)
 
 
 def token_ids(text: Column, tokenizer: str = TOKENIZER, end_id: int | None = 2) -> Column:
-    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    tail = 0 if end_id is None else 1
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         e = encoder(vocabulary_path(tokenizer))
-        return pd.Series([np.frombuffer(e.ids(t or "") + tail, dtype="<i4") for t in texts])
+        flat, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(1, dtype=np.int64)]
+        for part in steps(texts):
+            ids, n = e.batch(part)
+            if tail:
+                ids = np.insert(ids, np.cumsum(n), end_id)
+            flat.append(ids)
+            sizes.append(n + tail)
+        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat).view("<i4")))
 
     return encode(text)
 
 
 def ids_crc32(ids: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def check(rows: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in rows], dtype="int64")
+    @F.arrow_udf("bigint")
+    def check(rows: pa.Array) -> pa.Array:
+        raw, at = memoryview(rows.flatten().to_numpy().astype("<i4", copy=False)).cast("B"), (rows.offsets.to_numpy() - rows.offsets[0].as_py()) * 4 if len(rows) else []
+        return pa.array([zlib.crc32(raw[a:b]) for a, b in pairwise(at)], type=pa.int64())
 
     return check(ids)
 
@@ -176,7 +267,7 @@ def placed(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def token_file_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    with arrow_batches(spark, 1000):
+    with arrow_batches(spark, 2000):
         write_token_orc(docs, path)
         return placed(read_token_orc(spark, path))
 
