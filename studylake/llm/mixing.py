@@ -3,7 +3,8 @@
 Slot i of the schedule has the point frac(i * golden ratio), in 32-bit integers, which falls into one
 source's part of the unit interval; parts are as wide as the slots that the source needs. The r-th slot of
 a source takes its block r mod n: blocks are equal runs of words of the source's documents in an order
-shuffled by hash. At most three rounds of a source are taken.
+shuffled by hash. At most three rounds of a source are taken. A block has 64 words; where that would make
+over 2**28 blocks, they grow with the sum of all words, so the schedule's length stays bounded.
 
 Targets: sources in code point order, null last, weigh 1, 2, 3, repeating; together they share all words.
 A target stops at 3 times its source's size and the excess goes to the others by weight until none is
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 
 from .common import join_on, running_sum, written
 
-BLOCK = 64  # words
+BLOCK, MOST_BLOCKS = 64, 1 << 28  # words of a block at least; blocks of all sources at most, about
 ROUNDS = 3
 GOLDEN = 2654435769  # 2**32 / golden ratio
 CELLS = 4096
@@ -50,6 +51,17 @@ def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("need", need).select("source", "ord", "source_size", "target", "blocks", "need")
 
 
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2**32, exactly, for any slot: in two halves of GOLDEN, so no product leaves a long."""
+    x = F.pmod(slot, F.lit(1 << 32))
+    return F.pmod(F.pmod(x * (GOLDEN >> 16), F.lit(1 << 16)) * (1 << 16) + x * (GOLDEN & 0xFFFF), F.lit(1 << 32))
+
+
+def block_words(total: int) -> int:
+    """Words of a block: BLOCK, or more where all sources together would have over MOST_BLOCKS of them."""
+    return max(BLOCK, -(-total // MOST_BLOCKS))
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """The slots: (slot, ord, rank, block). Slots meet sources in the cells of the unit interval that both touch."""
     spark = sources.sparkSession
@@ -62,19 +74,20 @@ def schedule(sources: DataFrame) -> DataFrame:
     cells = F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))
     parts_ = parts_.select("ord", "blocks", "low", "high", F.explode(cells).alias("cell"))
     slots = spark.range(1, int(n or 0) + 1).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("point", (F.col("slot") % (1 << 32) * GOLDEN) % (1 << 32) / F.lit(float(1 << 32))).withColumn("cell", F.floor(F.col("point") * CELLS))
+    slots = slots.withColumn("point", golden_point(F.col("slot")) / F.lit(float(1 << 32))).withColumn("cell", F.floor(F.col("point") * CELLS))
     slots = slots.join(parts_, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "ord", "blocks", F.lit(1).alias("one"))
     ranked = running_sum(slots, [F.col("ord"), F.col("slot")], "one", "rank", ["ord"])
     ranked = ranked.filter(F.col("rank") < ROUNDS * F.col("blocks"))
     return ranked.select("slot", "ord", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, block: int | None = None) -> DataFrame:
     """Each document with its size, source_size, target, taken (words) and starts (how often its first word is taken)."""
     keep = keep or [key]
     rows = docs.select(*(docs[c].alias(f"k_{c}") for c in keep), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"), F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))).alias("shuffled"))
     narrow = rows.select("source", "size", "shuffled", f"k_{key}") if keep == [key] else rows
     narrow = written(narrow, "sizes")
+    block = block or block_words(narrow.agg(F.sum("size")).first()[0] or 0)
     sources = written(targets(narrow, block).coalesce(1), "targets")
     placed = join_on(narrow, sources.select("source", "ord", "source_size", "target", "blocks"), ["source"], "inner")
     placed = running_sum(placed, [F.col("ord"), F.col("shuffled"), F.col(f"k_{key}"), F.col("size")], "size", "offset", ["ord"])
