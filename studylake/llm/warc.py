@@ -3,11 +3,13 @@
 Writing: Spark's text writer puts the bytes of each row and a separator into a file. A gzip member ends
 with the high byte of its uncompressed size, which is zero below 16 MiB, so the writer gets each member
 without its last byte and a zero byte as separator: the files are plain sequences of gzip members, and
-Spark's commit protocol covers lost executors. Larger blocks are segmented (continuation records).
+Spark's commit protocol covers lost executors. The members pass through Spark as strings that needn't be valid
+UTF-8: the cast from binary and the writer leave the bytes alone, which the tests hold to. Larger blocks are segmented (continuation records).
 The files are gzip data whatever their names end in.
 
 Reading: each archive is decompressed member by member in small steps, framed by content length, and the
-digests of block and payload are verified.
+digests of block and payload are verified. Spark hands a task the compressed bytes of one archive at a time;
+the writer bounds them by closing an archive after about archive_bytes of payload.
 
 Deduplication: of pages with equal payloads of at least min_bytes the smallest id is the response, others
 are revisits without payload that refer to it.
@@ -27,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on, new_path
+from .common import BROADCAST_ROWS, join_on, new_path, written
 
 MIN_BYTES = 100
 SEGMENT = 8 << 20  # bytes of a block in one record; a member stays below 16 MiB
+ARCHIVE_BYTES, RECORD_BYTES = 256 << 20, 1000  # payload of an archive, about, and what a record has besides
+HOT = 100_000  # pages with one payload from which its key is taken out of the shuffled join
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,14 +74,24 @@ def members(page_id: str | None, url: str | None, payload: bytes, digest: str, r
     return out
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment: int = SEGMENT) -> None:
-    """Writes a record per row of pages (page_id, url, html)."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment: int = SEGMENT, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record per row of pages (page_id, url, html). An archive is closed after as many records as have about archive_bytes of payload."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    copies = large.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    rows = join_on(rows, copies, ["page_id", "digest"])
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
+    firsts = written(firsts, "firsts")
+    # a digest with many pages goes by broadcast (there are pages / HOT of them at most), so no key of the shuffled join is hot
+    sizes = firsts.agg(F.count_if(F.col("n") > HOT), F.count(F.lit(1))).first()
+    hot, rest = firsts.filter(F.col("n") > HOT).drop("n"), firsts.filter(F.col("n") <= HOT).drop("n")
+    few = sizes[1] - sizes[0] <= BROADCAST_ROWS
+    others = large.join(F.broadcast(hot), "digest", "left_anti") if sizes[0] else large
+    copies = others.join(F.broadcast(rest) if few else rest, "digest")
+    copies = copies.unionByName(large.join(F.broadcast(hot), "digest")) if sizes[0] else copies
+    copies = written(copies.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "copies")
+    rows = join_on(rows, F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["page_id", "digest"])
+    mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    records = max(1, int(archive_bytes / (mean + RECORD_BYTES)))
 
     @F.pandas_udf("array<binary>")
     def pack(ids: pd.Series, urls: pd.Series, payloads: pd.Series, digests: pd.Series, refers: pd.Series) -> pd.Series:
@@ -85,16 +99,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segm
         return pd.Series([[m[:-1] for m in ms] for ms in packed])
 
     text = F.explode(pack(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))).alias("member")
-    rows.select(text).select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
+    rows.select(text).select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
 
 
-def read_members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+def read_members(data: bytes, step: int = 1 << 13) -> Iterator[bytes]:
     """The decompressed records of an archive, one at a time."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         z, out = zlib.decompressobj(31), []
         while not z.eof:
-            piece = data[at : at + step]
+            piece = view[at : at + step]
             if not piece:
                 raise ValueError("the archive ends within a record")
             out.append(z.decompress(piece))
