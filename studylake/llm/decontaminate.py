@@ -8,6 +8,8 @@ within k edits. Texts and items are lower-cased, and runs of white space count a
 The items are the stated query set against all documents. They are read in blocks of at most about
 block_bytes of text, so what a task holds is bounded however many items there are.
 
+An item shorter than BUDGET characters has no edits and counts only as whole words: "yes" isn't in "the eyes".
+
 Defined results: null or blank items match nothing; null texts have no matches; repeated items with one id
 count once, and repeated documents give their rows each; empty tables give no matches. Extra columns are
 ignored. A row is (doc_id, item_id, distance, start, length), the best match of the item, in code points
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_path, written
+
 BUDGET = 16  # characters of an item for each allowed edit
 BLOCK_BYTES = 16 << 20
 _SPACE = re.compile(r"\s+")
@@ -83,39 +87,61 @@ class Matcher:
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item id, distance, start, length of the window's match)."""
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for end, (size, places) in self.trie.iter(text):
             for i, offset in places:
                 m, k = len(self.items[i][1]), len(self.items[i][1]) // self.budget
                 start = end + 1 - size - offset
+                if not k:  # the piece is the whole item
+                    if i not in exact and bordered(text, start, start + m):
+                        exact[i] = start
+                    continue
                 a, b = max(0, start - k), min(len(text), start + m + k)
                 kept = windows.setdefault(i, [])
                 if kept and a <= kept[-1][1] and a >= kept[-1][0]:
                     kept[-1][1] = max(b, kept[-1][1])
                 else:
                     kept.append([a, b])
+        for i, start in exact.items():
+            yield self.items[i][0], 0, start, len(self.items[i][1])
         for i, kept in windows.items():
             item_id, item = self.items[i]
             k, best = len(item) // self.budget, None
             for a, b in kept:
-                exact = text.find(item, a, b)
-                if exact >= 0:
-                    best = (0, exact, len(item))
+                place = text.find(item, a, b)
+                if place >= 0:
+                    best = (0, place, len(item))
                     break
                 hit = best_match(item, text[a:b], k)
                 if hit and (best is None or hit[0] < best[0]):
-                    best = (hit[0], max(0, a + hit[1] - len(item)), len(item))
+                    start = a + start_of(item, text[a : a + hit[1]], hit[0])
+                    best = (hit[0], start, a + hit[1] - start)
             if best:
                 yield item_id, *best
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator:
-    """The items, broadcast in blocks of about block_bytes of text: a size that the number of blocks ensures."""
+def bordered(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on before start or after end."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+def start_of(item: str, text: str, distance: int) -> int:
+    """Where a match of that distance that ends with text begins: the same search from right to left."""
+    hit = best_match(item[::-1], text[: -len(item) - distance - 1 : -1], distance)
+    return len(text) - hit[1] if hit else 0
+
+
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
+    """(broadcast items, whether it is the only block) of about block_bytes of text each: a size that the number of blocks ensures.
+
+    The items are read once for their size and once for each block; a block is taken when it is asked for.
+    """
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null").distinct()
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast(sorted((r["item_id"], t) for r in rows if (t := normalised(r["text"]))))
+        yield spark.sparkContext.broadcast(sorted((r["item_id"], t) for r in rows if (t := normalised(r["text"])))), blocks == 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -147,15 +173,28 @@ def best_of(hits: Iterator[tuple[int, int, int, int]]) -> list[tuple[int, int, i
 
 
 def matches(docs: DataFrame, items: DataFrame, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every (document, item) with the item's best passage in the document."""
-    found = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(hits_column(docs["text"], known, budget)).alias("hit")).select("doc_id", "hit.*") for known in item_blocks(items, block_bytes)]
-    return functools.reduce(DataFrame.unionByName, found)
+    """Every (document, item) with the item's best passage in the document.
+
+    With several blocks, each one's matches are written before the next block is collected, so driver and
+    executors hold one block at a time and the plan doesn't grow with their number.
+    """
+    path = new_path(docs.sparkSession, "matches")
+    for known, alone in item_blocks(items, block_bytes):
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(hits_column(docs["text"], known, budget)).alias("hit")).select("doc_id", "hit.*")
+        if alone:
+            return found
+        found.write.mode("append").parquet(path)
+        known.destroy()
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def clean_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    for known in item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    """Pipeline stage: documents that hold a benchmark item go. With several blocks of items, what a block leaves is written for the next."""
+    for known, alone in item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         docs = docs.filter(F.size(hits_column(docs["text"], known)) == 0)
+        if not alone:
+            docs = written(docs, "clean")
+            known.destroy()
     return docs
 
 
