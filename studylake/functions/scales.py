@@ -36,7 +36,7 @@ def priority(level: Column, deadline: Column, today: Column) -> Column:
     """1 (first) to 9: the level, moved by how near the deadline is."""
     left = F.date_diff(deadline, today)
     moved = F.when(left <= 1, -2).when(left <= 3, -1).when(left > 21, 1).otherwise(0)
-    return F.greatest(F.lit(1), F.least(F.lit(9), 6 - level + moved))
+    return F.greatest(F.lit(1), F.least(F.lit(9), 6 - F.greatest(F.lit(1), F.least(F.lit(5), level)) + moved))
 
 
 def day_label(days: Column) -> Column:

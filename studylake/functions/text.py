@@ -30,12 +30,6 @@ def cited(text: Column, count: Column) -> Column:
 
 
 def excerpt(text: Column, most: int = 320) -> Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…")))
-
-
-def duration_minutes(text: Column) -> Column:
-    """Hours, minutes and days named in a text, in minutes (a day has 240)."""
-    unit = lambda names: F.aggregate(F.regexp_extract_all(F.lower(text), F.lit(rf"(\d+(?:\.\d+)?)\s*(?:{names})\b"), 1), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    total = unit("hours?|hrs?|h") * 60 + unit("minutes?|mins?|m") + unit("days?|d") * 240
-    return F.least(F.lit(100_000), F.round(total).cast("int"))
+    """A passage without its title line, in one line of at most so many characters."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?\n\n", ""), r"\s+", " "))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…")))

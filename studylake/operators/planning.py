@@ -15,7 +15,7 @@ def urgency(deadline: Column, remaining: Column, progress: Column, today: Column
     left = F.date_diff(deadline, today)
     pressure = 1.0 / (1.0 + left / 3.0)
     load = F.least(F.lit(1.0), remaining / (F.greatest(F.lit(1), left) * DAY_MINUTES))
-    near = F.floor(F.least(F.lit(1.0), 0.6 * pressure + 0.4 * load) * 10_000 + 0.5) / 10_000  # rounds halves of the binary value
+    near = F.bround(F.least(F.lit(1.0), 0.6 * pressure + 0.4 * load), 4)
     return F.when(deadline.isNull(), 0.25 * (1.0 - progress)).when(left < 0, 1.0).otherwise(near)
 
 

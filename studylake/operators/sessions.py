@@ -74,12 +74,10 @@ def session(cards: DataFrame, hot: DataFrame, today: str, due_budget: int, new_b
 def buttons(cards: DataFrame, exam: Column, today: str, retention: float = 0.9, most: int = 3650) -> DataFrame:
     """The days until a card's next review for each answer, at most to the eve of its exam."""
     now = F.to_date(F.lit(today))
-    state = F.struct("s", "d", "reps", "lapses", "last")
-    rows = cards.select("card", exam.alias("exam"), state.alias("state"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("grade"))
-    after = memory.reviewed(F.col("state"), F.struct(F.unix_date(now).cast("double").alias("t"), "grade"), memory.WEIGHTS)
-    rows = rows.select("card", "exam", "grade", after["s"].alias("s"))
-    free = F.greatest(F.lit(1), F.least(F.lit(most), F.bround(memory.interval(F.col("s"), F.lit(retention))).cast("int")))
-    free = F.when(F.col("grade") == 1, 1).otherwise(free)
+    rows = cards.select("card", exam.alias("exam"), "s", "d", (F.unix_date(now) - F.col("last")).alias("gone"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("grade"))
+    later, _ = memory.after(F.col("s"), F.col("d"), F.col("grade"), F.greatest(F.lit(0.0), F.col("gone")), memory.WEIGHTS)
+    rows = rows.select("card", "exam", "grade", later.alias("s"))
+    free = memory.days_until_due(F.col("s"), F.col("grade"), retention, most)
     days = F.date_diff(scales.exam_capped(F.date_add(now, free), F.col("exam"), now), now)
     return rows.select("card", "grade", days.alias("days"), scales.day_label(days).alias("label"))
 

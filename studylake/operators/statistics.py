@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,4 +79,15 @@ def sweep(pairs: DataFrame) -> DataFrame:
     rows = rows.withColumn("precision", F.when(F.col("accepted") > 0, F.round(F.col("right") / F.col("accepted"), 4))).withColumn("recall", F.when(F.col("positives") > 0, F.round(F.col("right") / F.col("positives"), 4)))
     f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4))
     lowest = F.min(F.when(F.col("precision") >= TARGET, F.col("cutoff"))).over(W.partitionBy())  # 35 rows
-    return rows.select("cutoff", "accepted", "right", (F.col("n") - F.col("accepted")).alias("asks"), "precision", "recall", f1.alias("f1"), F.coalesce(F.col("cutoff") == lowest, F.lit(False)).alias("recommended"))
+    return rows.select("cutoff", "accepted", "right", (F.col("n") - F.col("accepted")).alias("asks"), "precision", "recall", f1.alias("f1"), F.coalesce(F.col("cutoff") == lowest, F.lit(False)).alias("recommended"), (F.col("n") >= ENOUGH_LABELS).alias("enough"), (F.col("n") >= USABLE_LABELS).alias("usable"))
+
+
+def report(sets: dict[str, DataFrame]) -> DataFrame:
+    """One row for each named set of pairs: its size, whether that is enough, and the lowest cutoff precise enough."""
+    def row(name: str, pairs: DataFrame) -> DataFrame:
+        points = sweep(pairs)
+        best = points.agg(F.min(F.when(F.col("recommended"), F.col("cutoff"))).alias("recommended"), F.first("enough").alias("enough"), F.first("usable").alias("usable"))
+        size = pairs.filter("score is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("positives"))
+        return size.crossJoin(F.broadcast(best)).select(F.lit(name).alias("name"), "n", "positives", "enough", "usable", "recommended")  # one row each
+
+    return functools.reduce(DataFrame.unionByName, (row(name, pairs) for name, pairs in sets.items()))

@@ -26,14 +26,14 @@ _EASY_D = f"greatest(1, least(10, {w[4]} - exp({w[5]} * 3) + 1))"
 _NEXT_D = f"greatest(1, least(10, {w[7]} * {_EASY_D} + {1 - w[7]} * (d - {w[6]} * (grade - 3) * (10 - d) / 9)))"
 STATES = f"""{REVIEWS}, numbered as (select card, t, grade, row_number() over (partition by card order by t, ord) as i from reviews),
 fold as (
-  select card, 1 as i, t, (case grade when 1 then {w[0]} when 2 then {w[1]} when 3 then {w[2]} else {w[3]} end)::double as s, ({_FIRST_D})::double as d, (grade = 1)::int as lapses from numbered where i = 1
+  select card, 1 as i, t, (case grade when 1 then {w[0]} when 2 then {w[1]} when 3 then {w[2]} else {w[3]} end)::double as s, ({_FIRST_D})::double as d, (grade = 1)::int as lapses, grade as last_grade from numbered where i = 1
   union all
   select card, i, t, greatest(0.01, case when e < 1 then s * exp({w[17]} * (grade - 3 + {w[18]}))
     when grade = 1 then least(s, {w[11]} * pow(nd, {-w[12]}) * (pow(s + 1, {w[13]}) - 1) * exp({w[14]} * (1 - r)))
-    else s * (1 + exp({w[8]}) * (11 - nd) * pow(s, {-w[9]}) * (exp({w[10]} * (1 - r)) - 1) * case grade when 2 then {w[15]} when 4 then {w[16]} else 1 end) end)::double, nd::double, lapses + (grade = 1)::int
+    else s * (1 + exp({w[8]}) * (11 - nd) * pow(s, {-w[9]}) * (exp({w[10]} * (1 - r)) - 1) * case grade when 2 then {w[15]} when 4 then {w[16]} else 1 end) end)::double, nd::double, lapses + (grade = 1)::int, grade
   from (select n.card, n.i, n.t, n.grade, f.s, f.lapses, n.t - f.t as e, pow(1 + 19.0 / 81 * (n.t - f.t) / f.s, -0.5) as r, {_NEXT_D} as nd
     from fold f join numbered n on n.card = f.card and n.i = f.i + 1)),
-states as (select card, i as reps, t as last, s, d, lapses, greatest(1, least(3650, cast(round_even(s / (19.0 / 81) * (pow(0.9, -2) - 1), 0) as int))) as "interval"
+states as (select card, i as reps, t as last, s, d, lapses, case when last_grade = 1 then 1 else greatest(1, cast(round_even(least(3650.0, s / (19.0 / 81) * (pow(0.9, -2) - 1)), 0) as int)) end as "interval"
   from fold qualify row_number() over (partition by card order by i desc) = 1),
 cards as (select *, date '1970-01-01' + cast(floor(last) as int) + "interval" as due from states)"""
 
@@ -59,8 +59,8 @@ SQL = {
           from cards, (select unnest([{', '.join(map(str, study.RETENTION_GRID))}])::double as r) g group by r), m as (select *, per_day * 12 / 60 as minutes from p)
         select retention, round(per_day, 4) as per_day, round(minutes, 4) as minutes, round(known, 4) as known, round(known / minutes, 4) as known_per_minute,
           row_number() over (order by known / minutes desc, retention) = 1 as optimal from m""",
-    "fit_log_loss": f"""with {REVIEWS}, x as (select grade, t - lag(t) over (partition by card order by t, ord) as elapsed from reviews),
-        y as (select grade, greatest(1e-9, least(1 - 1e-9, pow(1 + 19.0 / 81 * elapsed / 5.0, -0.5))) as p from x where elapsed > 0)
+    "fit_log_loss": f"""with recursive {STATES}, x as (select b.s, a.t - b.t as elapsed, a.last_grade as grade from fold a join fold b on a.card = b.card and a.i = b.i + 1),
+        y as (select grade, greatest(1e-9, least(1 - 1e-9, pow(1 + 19.0 / 81 * elapsed / greatest(1e-6, s), -0.5))) as p from x where elapsed > 0)
         select count(*) as n, round(avg(case when grade >= 3 then -ln(p) else -ln(1 - p) end), 6) as log_loss from y""",
     "latest_review": f"""with {REVIEWS} select card, "at", ord, grade from reviews qualify row_number() over (partition by card order by "at" desc, ord desc) = 1""",
     "calibration_bins": f"""with {REVIEWS}, bins as (select * from (values {', '.join(f'({lo}::double, {hi}::double)' for lo, hi in statistics.BINS)}) b(low, top))
@@ -83,7 +83,7 @@ SQL = {
         p as (select cutoff, count(*) filter (score >= cutoff) as accepted, count(*) filter (score >= cutoff and correct) as right_, count(*) as n, count(*) filter (correct) as positives from c, pairs where score is not null group by cutoff),
         q as (select *, case when accepted > 0 then round(right_ / accepted, 4) end as precision_, case when positives > 0 then round(right_ / positives, 4) end as recall from p)
         select cutoff, accepted, right_ as right, n - accepted as asks, precision_ as precision, recall, case when precision_ > 0 and recall > 0 then round(2 * precision_ * recall / (precision_ + recall), 4) end as f1,
-          coalesce(cutoff = (select min(cutoff) from q where precision_ >= 0.9), false) as recommended from q""",
+          coalesce(cutoff = (select min(cutoff) from q where precision_ >= 0.9), false) as recommended, n >= 40 as enough, n >= 25 as usable from q""",
     "term_frequency": f"with {TERMS} select term, count(*) as df from terms group by term",
     "search_topk": f"""with {TERMS}, total as (select count(*) as n from documents), freq as (select term, count(*) as df from terms group by term),
         asked as (select distinct item_id as question, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) as term from benchmark),
@@ -105,14 +105,13 @@ SQL = {
     "link_siblings": f"with {LINKS}, n as (select dst, count(*) - 1 as others from links group by dst) select src, count(*) as targets, cast(sum(others) as bigint) as shared_links from links join n using (dst) group by src",
     "duplicate_titles": r"""with x as (select doc_id, trim(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents)
         select slug, count(*) as notes, min(doc_id) as first_note from x where slug <> '' group by slug having count(*) > 1""",
-    "index_changes": "select case when doc_id % 10 <> 0 then 'kept' else 'missing' end as change, count(*) as notes from documents group by 1",
     "project_urgency": f"""with {STEPS}, {PROJECTS}, load as (select project, sum(case when done then 0 else minutes end) as remaining from steps group by project),
         x as (select project, date_diff('day', date '1998-08-02', deadline) as left_, coalesce(remaining, 0) as remaining from projects left join load using (project) where status <> 'done')
-        select project, case when left_ < 0 then 1.0 else floor(least(1.0, 0.6::double * (1.0::double / (1.0::double + left_ / 3.0::double)) + 0.4::double * least(1.0, remaining / (greatest(1, left_) * 180))) * 10000 + 0.5) / 10000 end as urgency from x""",
+        select project, case when left_ < 0 then 1.0 else round_even(least(1.0, 0.6::double * (1.0::double / (1.0::double + left_ / 3.0::double)) + 0.4::double * least(1.0, remaining / (greatest(1, left_) * 180))), 4) end as urgency from x""",
     "next_actions": f"""with {STEPS}, {PROJECTS}, load as (select project, sum(minutes) as remaining from steps where not done group by project),
         n as (select project, step, minutes, scheduled from steps where not done qualify row_number() over (partition by project order by scheduled is null, scheduled, step, minutes) = 1),
         x as (select project, deadline, step, minutes, scheduled, date_diff('day', date '1998-08-02', deadline) as left_, remaining from projects join load using (project) join n using (project) where status = 'active')
-        select project, deadline, step, minutes, scheduled, case when left_ < 0 then 1.0 else floor(least(1.0, 0.6::double * (1.0::double / (1.0::double + left_ / 3.0::double)) + 0.4::double * least(1.0, remaining / (greatest(1, left_) * 180))) * 10000 + 0.5) / 10000 end as urgency
+        select project, deadline, step, minutes, scheduled, case when left_ < 0 then 1.0 else round_even(least(1.0, 0.6::double * (1.0::double / (1.0::double + left_ / 3.0::double)) + 0.4::double * least(1.0, remaining / (greatest(1, left_) * 180))), 4) end as urgency
         from x order by urgency desc, project limit 10""",
     "upcoming": f"""with {STEPS}, {PROJECTS}, live as (select * from projects where status <> 'done')
         select project, 'deadline' as kind, deadline as "on", null::int as step from live where deadline <= date '1998-08-16'

@@ -27,7 +27,7 @@ SQL = {
         n as (select *, greatest(0.01, case when e < 1 then s * exp({w[17]} * (grade - 3 + {w[18]}))
             when grade = 1 then least(s, {w[11]} * pow(nd, {-w[12]}) * (pow(s + 1, {w[13]}) - 1) * exp({w[14]} * (1 - r)))
             else s * (1 + exp({w[8]}) * (11 - nd) * pow(s, {-w[9]}) * (exp({w[10]} * (1 - r)) - 1) * case grade when 2 then {w[15]} when 4 then {w[16]} else 1 end) end) as s1 from m),
-        f as (select card, grade, exam, case when grade = 1 then 1 else greatest(1, least(3650, cast(round_even(s1 / (19.0 / 81) * (pow(0.9, -2) - 1), 0) as int))) end as free from n),
+        f as (select card, grade, exam, case when grade = 1 then 1 else greatest(1, cast(round_even(least(3650.0, s1 / (19.0 / 81) * (pow(0.9, -2) - 1)), 0) as int)) end as free from n),
         x as (select card, grade, cast(case when exam - 1 <= 0 or free <= exam - 1 then free else exam - 1 end as int) as days from f)
         select card, grade, days, {_LABEL} as label from x""",
     "folder_rollup": f"""with {CARDS}, decks as (select note, topic, count(*) filter (reps > 0 and due <= date '2024-01-31') as due, count(*) filter (reps = 0) as new, count(*) as active from customers group by all),

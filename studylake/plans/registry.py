@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, planning, retrieval, statistics, study
 from ..sources import views
-from . import oracle_sessions, sessions
+from . import actions, library, oracle_actions, oracle_library, oracle_sessions, sessions
 from .oracle import SQL
 
 EVENTS_TODAY, ORDERS_TODAY = "2024-01-31", "1998-08-02"
@@ -54,11 +54,6 @@ def adjusted_estimates(spark, d):
     return out.groupBy("level").agg(F.count(F.lit(1)).alias("steps"), F.sum("minutes").alias("estimated"), F.sum("adjusted").alias("adjusted"))
 
 
-def index_changes(spark, d):
-    new = links.fingerprints(views.table(spark, d, "documents"), "doc_id", "text")
-    return links.index_changes(new.filter("note % 10 <> 0"), new).groupBy("change").agg(F.count(F.lit(1)).alias("notes"))
-
-
 def duplicate_titles(spark, d):
     title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     return links.duplicate_titles(views.table(spark, d, "documents"), title, "doc_id")
@@ -97,7 +92,7 @@ def queries() -> dict:
         "load_forecast": lambda k, d: study.load_forecast(cards_of(k, d), EVENTS_TODAY),
         "seconds_per_review": lambda k, d: study.seconds_per_review(r(k, d)),
         "retention_curve": lambda k, d: study.retention_curve(cards_of(k, d)),
-        "fit_log_loss": lambda k, d: study.log_loss(study.review_samples(r(k, d)), F.lit(5.0)),
+        "fit_log_loss": lambda k, d: study.log_loss(study.review_samples(r(k, d))),
         "latest_review": latest_label,
         "calibration_bins": lambda k, d: statistics.calibration_bins(r(k, d)),
         "calibration_summary": lambda k, d: statistics.calibration_summary(r(k, d)),
@@ -113,15 +108,16 @@ def queries() -> dict:
         "link_in_degree": lambda k, d: links.in_degree(views.links(k, d)),
         "link_siblings": lambda k, d: links.siblings(views.links(k, d)),
         "duplicate_titles": duplicate_titles,
-        "index_changes": index_changes,
         "project_urgency": project_urgency,
         "next_actions": lambda k, d: planning.next_actions(p(k, d), s(k, d), ORDERS_TODAY),
         "upcoming": lambda k, d: planning.upcoming(p(k, d), s(k, d), ORDERS_TODAY),
         "habit_misses": lambda k, d: planning.habit_misses(views.habit_log(k, d), EVENTS_TODAY),
         "habit_stability": lambda k, d: planning.habit_stability(views.habit_log(k, d)),
         **sessions.queries(),
+        **library.queries(),
+        **actions.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | oracle_sessions.SQL
+    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL

@@ -63,3 +63,40 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("correct"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes: parts, with bucket, folder, tags, dates and status from their key and size."""
+    key, size, today = F.col("p_partkey"), F.col("p_size"), F.to_date(F.lit("2024-01-31"))
+    tags = F.array_compact(F.array(F.when(key % 6 == 0, "needs-definition"), F.when(key % 7 == 0, "term")))
+    return table(spark, sf_dir, "part").select(
+        key.alias("note"),
+        F.concat_ws(" ", "p_name", (key % 97).cast("string")).alias("title"),
+        F.element_at(F.array(*map(F.lit, ("inbox", "project", "area", "resource", "archive"))), (key % 5 + 1).cast("int")).alias("bucket"),
+        F.concat_ws("/", F.lower("p_type"), "p_brand").alias("folder"),
+        tags.alias("tags"),
+        F.date_sub(today, size * 3).alias("created"),
+        F.date_add(F.date_sub(today, size * 3), (key % 40).cast("int")).alias("updated"),
+        F.when(key % 3 == 0, F.date_add(today, (key % 41).cast("int") - 10)).alias("deadline"),
+        F.element_at(F.array(*map(F.lit, ("explicit", "exact", "ambiguous", "llm", "manual"))), (F.floor(key / 5) % 5 + 1).cast("int")).alias("kind"),
+        F.when(key % 4 == 0, "done").otherwise("active").alias("status"),
+        (key % 2 == 0).alias("learning"),
+        (size * 4).alias("words"),
+    )
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards: customers, in the decks of notes 0 to 24."""
+    key, today = F.col("c_custkey"), F.to_date(F.lit("2024-01-31"))
+    reps = (key % 9).cast("int")
+    due = F.when(reps > 0, F.date_add(today, (key % 60).cast("int") - 30))
+    return table(spark, sf_dir, "customer").select(
+        key.alias("card"),
+        F.col("c_nationkey").cast("long").alias("note"),
+        F.when(key % 7 == 0, "draft").when(key % 7 == 1, "suspended").otherwise("active").alias("status"),
+        reps.alias("reps"),
+        (key % 11).cast("int").alias("lapses"),
+        F.when(reps > 0, F.round(F.abs("c_acctbal") / 50, 2)).otherwise(0.0).alias("s"),
+        due.alias("due"),
+        F.date_sub(due, 10).alias("last"),
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.memory import DECAY, FACTOR, LEAST_STABILITY, WEIGHTS
+from ..functions import memory
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -36,30 +35,12 @@ def card_changes(reviews: DataFrame, weights: list[float] | None = None) -> Data
     comes in a later batch than its successor is applied when it comes, with no time elapsed. The state
     kept is five numbers a card.
     """
-    w = weights or WEIGHTS
-
-    def after(s: float, d: float, grade: int, elapsed: float) -> tuple[float, float]:
-        def bounded(x: float) -> float:
-            return min(10.0, max(1.0, x))
-
-        if s <= 0:
-            return max(LEAST_STABILITY, w[grade - 1]), bounded(w[4] - math.exp(w[5] * (grade - 1)) + 1)
-        easy = bounded(w[4] - math.exp(w[5] * 3) + 1)
-        d = bounded(w[7] * easy + (1 - w[7]) * (d - w[6] * (grade - 3) * (10 - d) / 9))
-        forgotten = 1 - (1 + FACTOR * elapsed / s) ** DECAY
-        if elapsed < 1:
-            s *= math.exp(w[17] * (grade - 3 + w[18]))
-        elif grade == 1:
-            s = min(s, w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp(w[14] * forgotten))
-        else:
-            gain = math.exp(w[8]) * (11 - d) * s ** -w[9] * (math.exp(w[10] * forgotten) - 1)
-            s *= 1 + gain * {2: w[15], 4: w[16]}.get(grade, 1.0)
-        return max(LEAST_STABILITY, s), d
+    w = weights or memory.WEIGHTS
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s, d, reps, lapses, last = state.get if state.exists else (0.0, 0.0, 0, 0, 0.0)
         for r in pd.concat(list(batches)).sort_values(["t", "ord"]).itertuples():
-            s, d = after(s, d, int(r.grade), max(0.0, r.t - last))
+            s, d = memory.after(s, d, int(r.grade), max(0.0, r.t - last), w, memory.PLAIN)
             reps, lapses, last = reps + 1, lapses + (r.grade == 1), max(last, r.t)
         now = (float(s), float(d), int(reps), int(lapses), float(last))
         state.update(now)
