@@ -6,20 +6,23 @@ ones outweigh half of all weight. Permuted block tables find all fingerprints wi
 with radius + 1 blocks, two fingerprints within the radius agree on one block at least.
 
 Defined results: a null text is an empty one; an empty text has no votes and all bits 0; equal texts
-have equal fingerprints; rows that repeat both key and text count once, and rows with the same key and
-other texts are documents of their own; a null key sorts last; an empty table gives an empty table.
+have equal fingerprints; rows that repeat both key and text have one next document and give a row each,
+and rows with the same key and other texts are documents of their own, in the order of their hashes; a null key sorts last; an empty table gives an empty table.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_on, parts, written
+from .common import BROADCAST_ROWS, join_on, parts, written
 
 BITS = 128
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 LANES = 0x1_0000_0001  # bits i and i + 32 of a hash are counted in the two halves of one long
 
 
@@ -68,35 +71,59 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return 1.0 - distance(a0, a1, b0, b1) / F.lit(float(BITS))
 
 
+def _ranges(cuts: list[int], nulls: int) -> list[tuple[int | None, int | None, int, int]]:
+    """(from, up to, place, parts) of ranges of keys in descending order, null keys last; a key that several cuts name is a range of so many parts."""
+    counts = Counter(cuts)
+    known = sorted(counts)
+    bounds: list[tuple[int, int, int]] = []
+    for lo, hi in zip([LEAST, *known], [*known, MOST], strict=True):
+        m = counts.get(lo, 1)
+        if m > 1:
+            bounds.append((lo, lo + 1, m))
+            lo += 1
+        if lo < hi:
+            bounds.append((lo, hi, 1))
+    bounds.reverse()
+    return [(lo, hi, i, m) for i, (lo, hi, m) in enumerate(bounds)] + [(None, None, len(bounds), nulls)]
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document beside the next one by descending key; the first follows the last.
+    """Each distinct (key, text) beside the next one by descending key; the first follows the last.
 
     Keys are cut into as many ranges as there are partitions, at approximate quantiles, of which only
-    the bounds and first keys reach the driver. The head of a range is dealt to the range before it
-    as well, so one shuffle of the texts suffices.
+    the bounds and first keys reach the driver; they come back as small tables (a few rows for each
+    partition) that are broadcast. A key with many rows, or many null ones, is a range that is cut
+    further by the hash of the text. The head of a range is dealt to the range before it as well, so one
+    shuffle of the texts suffices.
     """
     spark = df.sparkSession
     src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("hash", F.xxhash64("text"))
     n = 2 * parts(spark)
-    cuts = src.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
-    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts)))).cast("array<bigint>")
-    bucket = F.when(F.col("key").isNull(), F.size(cuts) + 1).otherwise(F.size(F.filter(cuts, lambda x: x > F.col("key"))))
-    src = src.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["key"] for r in src.groupBy("bucket").agg(F.max("key").alias("key")).collect()}  # a row for each range
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first range follows the last
-    own = src.withColumn("extra", F.lit(0))
-    extra = own.filter(F.lit(False))
-    if order:
-        to = F.element_at(F.create_map(*(F.lit(x) for b in order for x in (b, before[b]))), F.col("bucket"))
-        first = F.element_at(F.create_map(*(F.lit(x).cast("long") if i else F.lit(x) for b in order for i, x in enumerate((b, heads[b])))), F.col("bucket"))
-        extra = src.filter(F.col("key").eqNullSafe(first)).withColumn("bucket", to).withColumn("extra", F.lit(1))
-    w = W.partitionBy("bucket").orderBy("extra", F.col("key").desc_nulls_last(), "hash")
+    seen = src.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n).alias("cuts"), F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key").isNull()).alias("nulls")).first()
+    least, most = seen["least"] or 0, seen["most"] or 0
+    ranges = _ranges(seen["cuts"] or [], 1 + n * seen["nulls"] // max(1, seen["rows"]))
+    width = (most - least) // (4 * n) + 1
+    # keys meet their range in the cells of equal width that it touches
+    cells = [(c, lo, hi, i, m) for lo, hi, i, m in ranges[:-1] for c in range((max(lo, least) - least) // width, (min(hi - 1, most) - least) // width + 1) if max(lo, least) <= min(hi - 1, most)]
+    table = F.broadcast(spark.createDataFrame(cells or [(0, 0, 0, 0, 1)], "cell bigint, lo bigint, hi bigint, place int, parts int"))
+    src = src.withColumn("cell", F.expr(f"(key - {least}L) div {width}L"))
+    src = src.join(table, (src["cell"] == table["cell"]) & (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")), "left").drop("cell", "lo", "hi")
+    _, _, last, m = ranges[-1]
+    src = src.withColumns({"place": F.coalesce("place", F.lit(last)), "parts": F.coalesce("parts", F.lit(m))})
+    part = F.least(F.floor((F.col("hash") / float(1 << 64) + 0.5) * F.col("parts")), F.col("parts") - 1).cast("int")
+    src = src.withColumn("part", part).drop("parts")
+    first = F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", F.bitwise_not("hash").alias("flipped"))).alias("x")
+    heads = sorted((r["place"], r["part"], r["x"]["key"], ~r["x"]["flipped"]) for r in src.groupBy("place", "part").agg(first).collect())  # a row for each range
+    before = [(k, h, *heads[i - 1][:2]) for i, (_, _, k, h) in enumerate(heads)]  # the first range follows the last
+    to = F.broadcast(spark.createDataFrame(before, "h_key bigint, h_hash bigint, to_place int, to_part int"))
+    extra = src.join(to, F.col("key").eqNullSafe(F.col("h_key")) & (F.col("hash") == F.col("h_hash"))).select("key", "text", "hash", F.col("to_place").alias("place"), F.col("to_part").alias("part"), F.lit(1).alias("extra"))
+    own = src.select("key", "text", "hash", "place", "part", F.lit(0).alias("extra"))
+    w = W.partitionBy("place", "part").orderBy("extra", F.col("key").desc_nulls_last(), "hash")
     rows = own.unionByName(extra).withColumns({"last_key": F.lag("key").over(w), "last_hash": F.lag("hash").over(w), "last_extra": F.lag("extra").over(w)})
     rows = rows.filter(~(F.col("last_extra").eqNullSafe(F.col("extra")) & F.col("last_key").eqNullSafe(F.col("key")) & F.col("last_hash").eqNullSafe(F.col("hash"))))
     rows = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in ("key", "hash", "text")))
-    return rows.filter("extra = 0").drop("bucket", "extra", "last_key", "last_hash", "last_extra")
+    return rows.filter("extra = 0").drop("place", "part", "extra", "last_key", "last_hash", "last_extra")
 
 
 def edited(n: Column, text: Column, following: Column) -> Column:
@@ -136,6 +163,12 @@ def within_radius(index: DataFrame, queries: DataFrame, radius: int = 3) -> Data
     return hits.groupBy("q0", "q1").agg(F.sum("rows").alias("n_within"))
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, hash, rows) of rows that repeat both key and text."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    return written(rows.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeated")
+
+
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text; n_within: for keys divisible by 100, the documents within 3 bits, itself included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -152,6 +185,9 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = join_on(asked, within_radius(done, asked), {"f0": "q0", "f1": "q1"}, "inner")
     out = join_on(done, following, {"next_key": "k", "next_hash": "h"})
     out = join_on(out, found.select("key", "hash", "n_within"), ["key", "hash"])
+    again = repeated(docs)
+    out = join_on(out, F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, ["key", "hash"])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)).cast("int"))))
     c = F.col
     return out.select(
         c("key").alias("doc_id"),
