@@ -2,13 +2,19 @@
 
 The battery looks at each run of 20 or more token characters outside the fixed patterns' spans. Runs are
 cut at '=', so a value is tested without its name; a value with + or / and - or _, which no alphabet holds,
-is cut at the ones and at the others, with the p-values doubled. Parts of 20 or more are tested. It infers the encoding (hex, base32, base62, base64) from the characters and tests the run against uniform
-draws from that alphabet: chi-squared over as many equal cells as the length allows, the number of runs
-above and below the middle code, and the serial correlation of neighbours. A run that is not random by
-these (Bonferroni over the three) is none. Ordinary tokens seldom change between digits, small and
-capital letters, random ones do at nearly every step: the likelihood ratio of the changes, whose inverse
-bounds the p-value of an ordinary token (Markov) and falls with the length, is what the false-discovery
-control (Benjamini-Hochberg over the runs of one document) accepts or not.
+is cut at the ones and at the others, with the p-values doubled. Parts of 20 or more are tested. It infers
+the encoding (hex, base32, base36, base62, base64) from the characters; decimal numbers aren't secrets.
+Three statistics compare the characters with uniform draws from that alphabet: chi-squared over as many
+equal cells as the length allows, the number of runs above and below the middle code, and the serial
+correlation of neighbours. Their p-values for uniform draws are combined (Cauchy); what isn't random by
+these is none.
+
+What is left has to be unlike ordinary text. How the three statistics come out for ordinary text is
+measured on all documents: on windows of two lengths of their characters, long runs aside, as far as the
+encoding has them. Each statistic of a run gets the chance that an ordinary window of the next shorter
+length (or the shortest) comes as near to random; the three are combined, and the false-discovery control
+(Benjamini-Hochberg over the runs of one document) decides. Longer runs stand out more, as ordinary
+windows leave uniformity the further the longer they are.
 
 Defined results: a null text is an empty one, without spans; rows are kept as they come, repeated ones
 too; places are code points of the whole text; an empty table gives an empty table. Extra columns are
@@ -17,12 +23,16 @@ ignored. Each row is done where it lies, without a shuffle.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +47,14 @@ KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 VALUE, NO_URL, NO_PLAIN = (re.compile(x) for x in ("[^=]+", "[^=_-]+", "[^=+/]+"))
 SHORTEST = 20  # of a run for the battery; no access or hex match that counts is shorter
 RANDOM_ALPHA, FDR = 0.001, 0.01
-ORDINARY_CHANGE = 0.12  # an ordinary token's chance that the class of characters changes at a step
+LENGTHS = (24, 48)  # of ordinary windows
+LEAST_WINDOWS = 20  # with fewer, the built-in text alone stands for ordinary ones
+ORDINARY = (
+    "The library keeps a copy of every report that the committee has written since the spring of last year, and readers may ask for any of them at the desk. "
+    "Our neighbours walked along the river until it was dark, talking about the harvest, the price of bread and whether the old bridge would hold another winter. "
+    "When the meeting ended in room 12 at about 5 o'clock, nobody remembered who had promised to lock the door, so two students waited there for 40 minutes. "
+    "Der Zug nach Hamburg kam erst am Abend an, weil auf der Strecke gebaut wurde. Les enfants jouaient dans la cour pendant que le professeur corrigeait les copies. "
+)
 
 _TOKEN = np.zeros(256, dtype=np.int8)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = 1
@@ -58,43 +75,77 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+#: Ordinary text is measured in these; encodings with other letters are near enough to one of them.
+MEASURED = {"hex": "hex", "HEX": "hex", "base32": "base36", "base36": "base36", "BASE36": "base36", "base62": "base62", "base64": "base62", "base64url": "base62"}
+CODES = {name: np.full(256, -1, dtype=np.int16) for name in ALPHABETS}
+for _name, _letters in ALPHABETS.items():
+    CODES[_name][list(_letters.encode())] = np.arange(len(_letters))
+
+
 def inferred(token: str) -> str | None:
     chars = set(token)
-    return next((k for k, v in ALPHABETS.items() if chars <= set(v)), None)
+    return None if chars <= set(_DIGIT) else next((k for k, v in ALPHABETS.items() if chars <= set(v)), None)
 
 
-def randomness(codes: np.ndarray, k: int) -> float:
-    """The battery's p-value of uniform draws from an alphabet of k."""
-    n = len(codes)
+def battery(codes: np.ndarray, k: int) -> np.ndarray:
+    """How far each row of codes is from uniform draws of an alphabet of k, in deviations: by chi-squared, by runs and by serial correlation."""
+    rows, n = codes.shape
     cells = max(2, min(k, n // 5))
-    seen = np.bincount(codes * cells // k, minlength=cells)
-    width = np.bincount(np.arange(k) * cells // k, minlength=cells)
-    due = n * width / k
-    chi, df = float(((seen - due) ** 2 / due).sum()), cells - 1
-    p_chi = _tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    cell = codes * cells // k
+    seen = np.stack([(cell == c).sum(axis=1) for c in range(cells)], axis=1)
+    due = n * np.bincount(np.arange(k) * cells // k, minlength=cells) / k
+    chi, df = ((seen - due) ** 2 / due).sum(axis=1), cells - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     high = codes >= k / 2
-    a, b = int(high.sum()), int(n - high.sum())
-    if not a or not b:
-        return 0.0
-    runs, mean = 1 + int((high[1:] != high[:-1]).sum()), 1 + 2 * a * b / n
-    var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-    p_runs = 2 * _tail(abs(runs - mean) / math.sqrt(var))
-    d = codes - codes.mean()
-    r = float((d[1:] * d[:-1]).sum() / max(1e-9, (d * d).sum()))
-    p_serial = 2 * _tail(abs(r + 1 / n) * math.sqrt(n))
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
-
-
-def ordinary_p(token: str, alphabet: str) -> float:
-    """A bound of the chance that an ordinary token changes its class of characters as often."""
-    kind = [0 if c in _DIGIT else 1 if c in _LOWER else 2 if c in _UPPER else 3 for c in token]
-    shares = [sum(c in s for c in alphabet) / len(alphabet) for s in (_DIGIT, _LOWER, _UPPER)]
-    change = 1 - sum(s * s for s in shares) - max(0.0, 1 - sum(shares)) ** 2
-    if change <= ORDINARY_CHANGE:
-        return 1.0
-    changes = sum(map(int.__ne__, kind, kind[1:]))
-    log = changes * math.log(change / ORDINARY_CHANGE) + (len(kind) - 1 - changes) * math.log((1 - change) / (1 - ORDINARY_CHANGE))
-    return math.exp(-max(0.0, log))
+    a = high.sum(axis=1)
+    b = n - a
+    runs, mean = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1), 1 + 2 * a * b / n
+    z_runs = np.abs(runs - mean) / np.sqrt(np.maximum(1 / n, (mean - 1) * (mean - 2) / (n - 1)))
+    z_runs = np.where((a == 0) | (b == 0), math.sqrt(n), z_runs)
+    d = codes - codes.mean(axis=1, keepdims=True)
+    r = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.maximum(1e-9, (d * d).sum(axis=1))
+    return np.stack([z_chi, z_runs, np.abs(r + 1 / n) * math.sqrt(n)], axis=1)
+
+
+def combined(p: list[float]) -> float:
+    """Cauchy's combination of p-values, which may depend on one another."""
+    t = sum(math.tan((0.5 - min(1 - 1e-12, max(1e-15, x))) * math.pi) for x in p) / len(p)
+    return 0.5 - math.atan(t) / math.pi
+
+
+def ordinary_sums(text: str) -> np.ndarray:
+    """For each measured encoding and length: the number of windows of the text's ordinary characters, and the sums and squares of log(1 + distance)."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    out = np.zeros((len(set(MEASURED.values())), len(LENGTHS), 7))
+    if len(raw) < LENGTHS[0]:
+        return out
+    edge = np.diff(_TOKEN[raw], prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ordinary = np.ones(len(raw), dtype=bool)
+    for a, b in zip(*(x[end - start >= SHORTEST].tolist() for x in (start, end)), strict=True):
+        ordinary[a:b] = False
+    for i, name in enumerate(sorted(set(MEASURED.values()))):
+        codes = CODES[name][raw[ordinary]]
+        codes = codes[codes >= 0].astype(np.int64)
+        for j, n in enumerate(LENGTHS):
+            if len(codes) >= n:
+                u = np.log1p(np.maximum(0, battery(codes[: len(codes) // n * n].reshape(-1, n), len(ALPHABETS[name]))))
+                out[i, j] += [len(u), *u.sum(axis=0), *(u * u).sum(axis=0)]
+    return out
+
+
+def ordinary_model(sums: np.ndarray) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Means and deviations of log(1 + distance) of ordinary windows by encoding and length; the built-in text counts as well."""
+    base, out = ordinary_sums(ORDINARY), {}
+    for i, name in enumerate(sorted(set(MEASURED.values()))):
+        for j, n in enumerate(LENGTHS):
+            have = base[i, j] + (sums[i, j] if sums[i, j, 0] >= LEAST_WINDOWS else 0)
+            mean = have[1:4] / max(1, have[0])
+            out[name, n] = mean, np.sqrt(np.maximum(0.01, have[4:7] / max(1, have[0]) - mean**2))
+    return out
+
+
+DEFAULT = ordinary_model(np.zeros((3, len(LENGTHS), 7)))
 
 
 def token_runs(text: str, least: int) -> list[tuple[int, int]]:
@@ -125,14 +176,16 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     return sorted(out)
 
 
-def random_p(token: str) -> float:
-    """The chance that an ordinary token looks as random as this one; 1 if no alphabet holds it or the battery rejects it."""
+def random_p(token: str, model: dict = DEFAULT) -> float:
+    """The chance that ordinary text looks as random as this token; 1 if no alphabet holds it or the battery rejects it."""
     name = inferred(token)
     if not name:
         return 1.0
-    alphabet = ALPHABETS[name]
-    codes = np.array([alphabet.index(c) for c in token])
-    return ordinary_p(token, alphabet) if randomness(codes, len(alphabet)) >= RANDOM_ALPHA else 1.0
+    z = battery(CODES[name][np.frombuffer(token.encode(), dtype=np.uint8)].astype(np.int64)[None], len(ALPHABETS[name]))[0]
+    if combined([_tail(z[0]), 2 * _tail(z[1]), 2 * _tail(z[2])]) < RANDOM_ALPHA:
+        return 1.0
+    mean, spread = model[MEASURED[name], max((n for n in LENGTHS if n <= len(token)), default=LENGTHS[0])]
+    return combined([_tail(x) for x in (mean - np.log1p(np.maximum(0, z))) / spread])
 
 
 def pieces(token: str) -> list[list[tuple[int, int, int]]]:
@@ -144,19 +197,22 @@ def pieces(token: str) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def random_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], fdr: float = FDR) -> list[tuple[int, int, int]]:
+def random_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], fdr: float = FDR, model: dict = DEFAULT) -> list[tuple[int, int, int]]:
+    """Spans that the battery takes for secrets; parts that overlap a base span aren't tested."""
     tried = []
+    starts, ends = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
     for s, e in runs:
         for parts in pieces(text[s:e]):
             found: list[tuple[float, int, int]] = []
             for a, b, ways in parts:
                 a, b = s + a, s + b
-                if not any(x <= a and b <= y for x, _, y in base):
-                    found.append((min(1.0, ways * random_p(text[a:b])), a, b))
-            taken: list[tuple[float, int, int]] = []  # of parts that overlap, from both ways to cut, the likeliest
-            for p, a, b in sorted(found, key=lambda f: (f[0], f[1] - f[2])):
+                before = bisect.bisect_left(starts, b)  # base spans that begin before the part ends
+                if not before or ends[before - 1] <= a:
+                    found.append((min(1.0, ways * random_p(text[a:b], model)), a, b))
+            taken: list[tuple[float, int, int]] = []  # of parts that overlap, from both ways to cut, the longest that passes by itself, else the likeliest, with the least p of them
+            for p, a, b in sorted(found, key=lambda f: (f[0] > fdr, f[1] - f[2] if f[0] <= fdr else f[0])):
                 if all(b <= x or y <= a for _, x, y in taken):
-                    taken.append((p, a, b))
+                    taken.append((min(q for q, x, y in found if x < b and a < y), a, b))
             tried += taken
     tried.sort()
     passed = max((i for i, (p, _, _) in enumerate(tried, 1) if p <= fdr * i / len(tried)), default=0)
@@ -167,8 +223,25 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def measured(docs: DataFrame, text: str = "text") -> dict:
+    """How ordinary windows of all documents come out: sums that each task makes, of which a row for each task reaches the driver's aggregate."""
+    size = 3 * len(LENGTHS) * 7
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(LENGTHS), 7))
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                total += ordinary_sums(t or "")
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel().tolist()], names=[f"s{i}" for i in range(size)])
+
+    rows = docs.select(docs[text].cast("string").alias("text")).mapInArrow(add, ", ".join(f"s{i} double" for i in range(size)))
+    row = rows.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(size))).first()
+    return ordinary_model(np.array([x or 0.0 for x in row]).reshape(3, len(LENGTHS), 7))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, counts, digest and spans (kind:start:end, comma-joined) of each row."""
+    model = measured(docs, text)
 
     @F.pandas_udf("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -178,7 +251,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             runs = token_runs(t, SHORTEST)
             found = base_spans(t, runs)
             base.append(found)
-            every.append(joined(found + random_spans(t, runs, found)))
+            every.append(joined(found + random_spans(t, runs, found, FDR, model)))
         counts = {f"n_{name}": [sum(k == i for _, k, _ in b) for b in base] for i, name in enumerate(KINDS[:3])}
         return pd.DataFrame(counts | {"base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], "spans": every})
 
