@@ -255,8 +255,11 @@ def write_token_orc(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     rows.write.options(**options).orc(path)
 
 
-def read_token_orc(spark, path: str, key: str = "doc_id") -> DataFrame:
-    return spark.read.schema(f"`{key}` bigint, ids array<int>").orc(path)
+def read_token_orc(spark, path: str, key: str = "doc_id", ids: list[int] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
+    """(key, ids) of all documents, of some ids or of a range of ids; the predicate goes to the reader, which skips files, stripes and row groups by their statistics and Bloom filters."""
+    rows = spark.read.schema(f"`{key}` bigint, ids array<int>").orc(path)
+    rows = rows if ids is None else rows.filter(F.col(key).isin(ids))
+    return rows if between is None else rows.filter(F.col(key).between(*between))
 
 
 def placed(rows: DataFrame, key: str = "doc_id") -> DataFrame:

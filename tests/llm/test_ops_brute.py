@@ -248,7 +248,7 @@ def test_pipeline(spark, docs):
     labelled = kept.merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id", how="inner")
     every = docs.merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
     assert (labelled.quality == 1).sum() >= 0.97 * (every.quality == 1).sum()
-    assert (labelled.quality == 0).sum() <= 0.5 * (every.quality == 0).sum()
+    assert (labelled.quality == 0).sum() <= 0.15 * (every.quality == 0).sum()
     ids = kept.doc_id.tolist()
     want = {i for i, c in zip(ids, plain_components(ids, plain_sets(kept.text, 5)), strict=True) if i == c}
     assert set(unique.doc_id) == want and unique.doc_id.is_unique
@@ -263,3 +263,133 @@ def test_pipeline(spark, docs):
     assert all(a <= b for a, b in pairwise(files.doc_id))
 
 
+
+
+def test_op2_fit_against_a_plain_optimiser():
+    """The weights minimise the pairs' logistic loss with its ridge: plain gradient steps find nothing lower."""
+    from studylake.llm import quality
+
+    draw = np.random.default_rng(1)
+    a = draw.normal(0.4, 1, (300, 4))
+    ridge = np.full(4, 1.0)
+
+    def loss(w):
+        return np.log1p(np.exp(-a @ w)).sum() + 0.5 * (ridge * w * w).sum()
+
+    found = quality._newton(a, np.ones(300), ridge)
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.002 * (-(a / (1 + np.exp(a @ w))[:, None]).sum(axis=0) + ridge * w)
+    assert loss(found) <= loss(w) + 1e-9 and np.allclose(found, w, atol=1e-3)
+
+
+def test_op2_features_against_plain_ones():
+    from studylake.llm import quality
+
+    text = "Good words, good lines.\nGood 12!\nGood 12!"
+    x = quality.features(text)
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n = len(raw)
+    assert x[1] == sum(c.isupper() for c in text) / n and x[2] == sum(c.isdigit() for c in text) / n and x[4] == 2 / n
+    assert x[10] == pytest.approx(np.log1p(n)) and x[11] == pytest.approx(np.log1p(len(words)))
+    assert x[12] == len(set(words)) / len(words) and x[13] == max(map(words.count, words)) / len(words)
+    assert x[16] == len(set(lines)) / len(lines)
+
+
+def test_quantile_stands_wrong_labels():
+    from studylake.llm import quality
+
+    draw = np.random.default_rng(2)
+    y = (np.arange(2000) % 5 > 0).astype(int)
+    x = draw.normal(0, 1, (2000, 6)) + 3 * y[:, None]
+    wrong = np.where(draw.random(2000) < 0.01, 1 - y, y)
+    assert min(quality.BradleyTerry.fit(x, wrong).threshold, 0.3) == min(quality.BradleyTerry.fit(x, y).threshold, 0.3) == 0.3
+
+
+def test_mix_points_are_exact_for_large_slots(spark):
+    from pyspark.sql import functions as F
+
+    slots = [1, 3_475_000_000, 2**32 - 1, 2**32, 2**40 + 7, 2**62]
+    got = spark.createDataFrame([(s,) for s in slots], "slot bigint").select("slot", mixing.golden_point(F.col("slot")).alias("p")).collect()
+    assert {r.slot: r.p for r in got} == {s: s * mixing.GOLDEN % 2**32 for s in slots}
+    assert mixing.block_words(10**6) == 64 and mixing.block_words(10**14) == -(-(10**14) // mixing.MOST_BLOCKS)
+
+
+def test_mix_stage_comes_near_the_targets(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    want = mixing.mixed(frame).toPandas()
+    rows = mixing.mix_stage(spark, frame, SF).toPandas()
+    words = rows.text.fillna("").map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))).groupby(rows.source.fillna("~")).sum()
+    source = frame.toPandas().set_index("doc_id").source.fillna("~")
+    target = want.target.groupby(want.doc_id.map(source)).first()
+    largest = want["size"].groupby(want.doc_id.map(source)).max()
+    for s, t in target.items():
+        assert abs(words[s] - t) <= largest[s] + mixing.BLOCK, (s, words[s], t)
+
+
+def test_matches_begin_and_end_where_they_do(spark, folder):
+    item = "which planet is the fourth from the sun in our system"
+    inserted = item[:20] + "xy" + item[20:]
+    deleted = item[:10] + item[12:]
+    items = [(1, item), (2, "yes")]
+    docs = [(1, f"abc {inserted} def"), (2, f"{deleted} end"), (3, "the eyes have it"), (4, "he said yes, twice"), (5, f"so {item}")]
+    d = folder(documents=docs, benchmark=items)
+    got = {(r.doc_id, r.item_id): (r.distance, r.start, r.length) for r in entry.queries()["op10_decontaminate"](spark, d).collect()}
+    assert got == {(1, 1): (2, 4, len(inserted)), (2, 1): (2, 0, len(deleted)), (4, 2): (0, 8, 3), (5, 1): (0, 3, len(item))}
+
+
+def test_archives_are_closed_after_a_bounded_size(spark, folder, tmp_path):
+    from studylake.llm import warc
+
+    tails = [bytes([i]) * 30 for i in range(1, 128)]
+    pages = [(i, f"http://x/{i}", (b"p%d " % i + t).decode("latin-1") * 3) for i, t in enumerate(tails)]
+    d = folder(pages=pages)
+    frame = spark.read.parquet(f"{d}/pages.parquet")
+    warc.write_archives(frame, str(tmp_path / "w"), archive_bytes=20_000)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    assert len(files) > 8
+    got = {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect()}
+    assert got == {i: h.encode() for i, _, h in pages}
+
+
+def test_extra_columns_with_names_used_within(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, y int, labelled bigint, known string, body string, x string, score string, ids string, words string"
+    rows = [(i, f"some words of document {i} that say little " * (i + 1), "en", "web", 1, 1, 2, "k", "b", "x", "s", "i", "w") for i in range(6)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "document 3")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("op1_simhash", "op2_quality", "op3_secrets", "op5_token_orc", "op6_mix", "op7_token_counts", "op8_licenses", "op9_near_dedup", "op10_decontaminate"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() >= 1, name
+
+
+def test_token_files_have_filters_and_are_read_by_id(spark, tmp_path):
+    from pyarrow import orc
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 9)) for i in range(4000)], "doc_id bigint, text string")
+    path = str(tmp_path / "t")
+    tokens.write_token_orc(docs.coalesce(1), path, stripe_bytes=1 << 14, stride=1000)
+    files = [str(p) for p in (tmp_path / "t").iterdir() if p.name.endswith(".orc")]
+    assert sum(orc.ORCFile(f).nrows for f in files) == 4000
+    raw = b"".join(open(f, "rb").read() for f in files)
+    assert max(orc.ORCFile(f).nstripes for f in files) >= 1 and raw.startswith(b"ORC")
+    found = tokens.read_token_orc(spark, path, ids=[5, 3999])
+    assert sorted(r.doc_id for r in found.collect()) == [5, 3999]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "doc_id" in plan.split("PushedFilters: [")[1].split("]")[0]
+    one = tokens.read_token_orc(spark, path, between=(10, 12))
+    assert sorted(r.doc_id for r in one.collect()) == [10, 11, 12]
+
+
+def test_large_sets_are_told_apart_by_longer_parities(spark):
+    from pyspark.sql import functions as F
+
+    from studylake.llm import near_dedup
+
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 1 << 63, 6000, dtype=np.uint64))
+    for keep, n in ((0.95, 6000), (0.5, 6000), (0.9, 4000)):
+        other = np.unique(np.concatenate([base[: int(keep * n)], draw.integers(0, 1 << 63, n - int(keep * n), dtype=np.uint64)]))
+        a, b = (near_dedup.parities(s, near_dedup.long_words(len(s))).tolist() for s in (base, other))
+        bits = spark.createDataFrame([(a, b)], "ma array<bigint>, mb array<bigint>").select(near_dedup._differing("ma", "mb")).first()[0]
+        differ = len(np.setxor1d(base, other))
+        assert bits <= differ and (differ > 3000) <= (bits > 0.111 * (len(base) + len(other)))
