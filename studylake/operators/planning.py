@@ -57,14 +57,18 @@ def habit_misses(log: DataFrame, today: str, target: int = 3) -> DataFrame:
 
 
 def habit_stability(log: DataFrame) -> DataFrame:
-    """Usual hour and place with the share of entries near them; of equals the one seen first counts."""
-    def usual(column: Column, name: str) -> DataFrame:
-        counts = log.groupBy("note", column.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
-        return counts.groupBy("note").agg(F.max_by(name, F.struct("n", -F.col("seen"))).alias(name), F.max("n").alias(f"{name}_n"))
-
-    hour = usual(F.floor(F.col("minute") / 60), "hour")
-    near = log.join(hour, "note").groupBy("note").agg(F.first("hour").alias("hour"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("minute") - (F.col("hour") * 60 + 30)) <= SAME_TIME).alias("near"))
-    rows = near.join(usual(F.col("place"), "place"), "note")
+    """Usual hour and place with the share of entries near them; of equals the one seen first counts. The log is read once, as counts of minutes and places."""
+    counts = log.groupBy("note", "minute", "place").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
+    counts = counts.withColumn("hour", F.floor(F.col("minute") / 60))
+
+    def usual(name: str) -> DataFrame:
+        found = counts.groupBy("note", name).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+        return found.groupBy("note").agg(F.max_by(name, F.struct("n", -F.col("seen"))).alias(name), F.max("n").alias(f"{name}_n"))
+
+    near = counts.select("note", "minute", "n").join(usual("hour"), "note")
+    around = F.abs(F.col("minute") - (F.col("hour") * 60 + 30)) <= SAME_TIME
+    near = near.groupBy("note").agg(F.first("hour").alias("hour"), F.sum("n").alias("n"), F.sum(F.when(around, F.col("n")).otherwise(0)).alias("near"))
+    rows = near.join(usual("place"), "note")
     return rows.select("note", "n", "hour", F.round(F.col("near") / F.col("n"), 3).alias("time_share"), "place", F.round(F.col("place_n") / F.col("n"), 3).alias("place_share"), (F.col("n") >= ENOUGH_LOG).alias("enough"))
 
 

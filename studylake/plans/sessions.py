@@ -49,7 +49,7 @@ def note_findings(spark, d):
 def stated_confidence(spark, d):
     kind = F.col("event_type")
     said = F.when(kind == "click", "sure").when(kind == "view", " Think-so ").when(kind == "signup", "perhaps").otherwise(F.get_json_object("props", "$.k"))
-    rows = views.table(spark, d, "events").select(F.col("event_id").alias("ord"), scales.probability(said).alias("p")).join(views.reviews(spark, d).select("ord", "grade"), "ord")
+    rows = views.table(spark, d, "events").select(views.event_grade().alias("grade"), scales.probability(said).alias("p"))
     return rows.groupBy("grade").agg(F.count(F.lit(1)).alias("reviews"), F.count("p").alias("stated"), F.round(F.avg("p"), 4).alias("confidence"))
 
 

@@ -15,14 +15,18 @@ def day_number(ts: str):
     return F.unix_date(F.to_date(ts)) + (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), F.col(ts)).cast("double")) / 86400.0
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_grade():
+    """The grade that an event stands for."""
     kind = F.col("event_type")
-    grade = F.when(kind == "error", 1).when(kind == "signup", 2).when(kind == "purchase", 4).otherwise(3)
+    return F.when(kind == "error", 1).when(kind == "signup", 2).when(kind == "purchase", 4).otherwise(3)
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("card"),
         F.col("ts").alias("at"),
         F.col("event_id").alias("ord"),
-        grade.alias("grade"),
+        event_grade().alias("grade"),
         F.least(F.lit(1.0), F.col("value") / 200).alias("confidence"),
         F.least(F.lit(120.0), F.col("value")).alias("seconds"),
         F.to_date("ts").alias("day"),
