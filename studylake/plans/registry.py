@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, planning, retrieval, statistics, study
 from ..sources import views
-from . import actions, cuts, library, oracle_actions, oracle_library, oracle_sessions, oracle_verdicts, sessions, verdicts
+from . import actions, cuts, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, sessions, verdicts
 from .oracle import SQL
 
 EVENTS_TODAY, ORDERS_TODAY = "2024-01-31", "1998-08-02"
@@ -118,8 +118,9 @@ def queries() -> dict:
         **actions.queries(),
         **verdicts.queries(),
         **cuts.queries(),
+        **names.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL
+    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL | oracle_names.SQL
