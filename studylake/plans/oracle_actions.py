@@ -31,7 +31,7 @@ SQL = {
         select card, count(*) filter (not coalesce(grade = g and gap <= 2000000, false)) as reviews from x group by card""",
     "user_sessions": """with x as (select user_id as owner, ts, event_id, case when event_type in ('signup', 'purchase') then 'start' else 'end' end as kind from events where event_type in ('signup', 'purchase', 'error')),
         y as (select *, lead(ts) over (partition by owner order by ts, event_id) as ended from x) select owner, ts as started, ended from y where kind = 'start'""",
-    "weights_in_force": f"select c_custkey as card, case when c_custkey % 3 = 0 then 1.5 when c_custkey % 2 = 0 then 2.5 else {w[0]} end as first from customer",
+    "weights_in_force": f"select c_custkey as card, case when c_custkey % 3 = 0 then 1.5 when c_custkey % 2 = 0 then 2.5 else {w[0]} end::double as first from customer",
     "day_seeds": "select cast(ts as date) as day, date_diff('day', date '0001-01-01', cast(ts as date)) + 1 as seed from events group by 1",
     "backlinks": f"with {_GRAPH} select n.note, e.src from edges e join notes n on n.note = e.dst where e.src <> n.note",
     "orphans": f"with {_GRAPH} select note from notes where note not in (select src from edges) and note not in (select dst from edges where src <> dst)",
