@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, new_path, parts, running_sum
+from .common import arrow_batches, new_path, parts, running_sum, written
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 20_000, 256  # code points
@@ -265,6 +265,7 @@ def read_token_orc(spark, path: str, key: str = "doc_id", ids: list[int] | None
 def placed(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start (ids of all documents before it), n_tokens and ids_crc32 of rows read back."""
     measured = rows.select(key, F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"))
+    measured = written(measured, "measured")  # the sort by ranges reads its input twice
     return running_sum(measured, [F.col(key).asc_nulls_last(), F.col("n_tokens"), F.col("ids_crc32")], "n_tokens", "start").select(key, "start", "n_tokens", "ids_crc32")
 
 
