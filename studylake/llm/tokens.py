@@ -32,7 +32,7 @@ from .common import arrow_batches, new_path, parts, running_sum, written
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 20_000, 256  # code points
-KNOWN_UNITS = 1_000_000  # units of which a worker remembers the ids: about so many
+KNOWN_UNITS = 400_000  # units of which a worker remembers the ids: about so many
 STEP_BYTES = 8 << 20  # of text that is encoded at once
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -213,6 +213,7 @@ def token_count(text: Column, tokenizer: str = TOKENIZER, chunk: int = CHUNK, ov
             for i in np.flatnonzero(huge).tolist():
                 n[i] = e.count(part[i].as_py(), chunk, overlap)
             out.append(n)
+        pa.default_memory_pool().release_unused()
         return pa.array(np.concatenate(out) if out else [], type=pa.int64())
 
     return count(text)
@@ -232,6 +233,7 @@ def token_ids(text: Column, tokenizer: str = TOKENIZER, end_id: int | None = 2)
             flat.append(ids)
             sizes.append(n + tail)
         offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        pa.default_memory_pool().release_unused()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat).view("<i4")))
 
     return encode(text)
