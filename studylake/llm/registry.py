@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, near_dedup, quality, runs, secrets, simhash, tokens, warc
+from . import decontaminate, licenses, mixing, near_dedup, negatives, quality, runs, secrets, simhash, tokens, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op12_runs": runs.op12_runs,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op13_hard_negatives": negatives.ORACLE}
