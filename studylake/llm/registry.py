@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, near_dedup, negatives, quality, runs, secrets, simhash, tokens, warc
+from . import decontaminate, licenses, mixing, near_dedup, negatives, pii, quality, runs, secrets, simhash, tokens, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_pii": pii.op11_pii,
         "op12_runs": runs.op12_runs,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
