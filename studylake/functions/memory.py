@@ -17,6 +17,7 @@ DECAY = -0.5
 FACTOR = 19 / 81
 WEIGHTS = [0.40255, 1.18385, 3.17300, 15.69105, 7.19490, 0.53450, 1.46040, 0.00460, 1.54575, 0.11920, 1.01925, 1.93950, 0.11000, 0.29605, 2.26980, 0.23150, 2.98980, 0.51655, 0.66210]
 LEAST_STABILITY = 0.01
+KEPT_PLACES = 4
 RETENTION_RANGE = (0.70, 0.99)
 
 
@@ -90,6 +91,11 @@ def after(s: Any, d: Any, grade: Any, elapsed: Any, w: list[float], o: Ops = SPA
     return o.choose(s <= 0, first_stability(grade, w, o), later), o.choose(s <= 0, first_difficulty(grade, w, o), harder)
 
 
+def kept(x: float) -> float:
+    """A number of a state as it is kept between reviews."""
+    return round(x, KEPT_PLACES)
+
+
 def days_until_due(s: Column, grade: Column, retention: float = 0.9, most: int = 3650) -> Column:
     """Whole days to the next review, 1 to most; a card answered with the lowest grade comes back after one."""
     free = F.bround(F.least(F.lit(float(most)), interval(s, retention))).cast("int")

@@ -58,9 +58,12 @@ def streaks(days: DataFrame, key: str, today: str) -> DataFrame:
 
 
 def _replayed(reviews: DataFrame, weights: list[float] | None, every: bool) -> DataFrame:
-    """card, the state before and after a review: of every review with its elapsed days, or of each card's last one."""
+    """card, the state before and after a review: of every review with its elapsed days, or of each card's last one.
+
+    A state is kept at four places between reviews (s, d); raw is the stability before that, which the due day comes from.
+    """
     w = weights or memory.WEIGHTS
-    names = ["card", "ord", "before", "elapsed", "s", "d", "reps", "lapses", "last", "grade"]
+    names = ["card", "ord", "before", "elapsed", "s", "d", "reps", "lapses", "last", "grade", "raw"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         card: object = fold  # no card yet
@@ -73,9 +76,10 @@ def _replayed(reviews: DataFrame, weights: list[float] | None, every: bool) -> D
                         done.append(row)
                     card, s, d, reps, lapses, last = c, 0.0, 0.0, 0, 0, t
                 before, elapsed = s, max(0.0, t - last)
-                s, d = memory.after(s, d, g, elapsed, w, memory.PLAIN)
+                raw, d = memory.after(s, d, g, elapsed, w, memory.PLAIN)
+                s, d = memory.kept(raw), memory.kept(d)
                 reps, lapses, last = reps + 1, lapses + (g == 1), t
-                row = (c, o, before, elapsed, s, d, reps, lapses, last, g)
+                row = (c, o, before, elapsed, s, d, reps, lapses, last, g, raw)
                 if every:
                     done.append(row)
             yield packed(done)
@@ -86,8 +90,8 @@ def _replayed(reviews: DataFrame, weights: list[float] | None, every: bool) -> D
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-    schema = "card bigint, ord bigint, before double, elapsed double, s double, d double, reps int, lapses int, last double, grade int"
+    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
+    schema = "card bigint, ord bigint, before double, elapsed double, s double, d double, reps int, lapses int, last double, grade int, raw double"
     rows = reviews.select(F.col("card").cast("long").alias("card"), day_number("at").alias("t"), F.col("ord").cast("long").alias("ord"), F.col("grade").cast("int").alias("grade"))
     rows = rows.filter("t is not null and grade between 1 and 4")
     return rows.repartition("card").sortWithinPartitions("card", "t", "ord").mapInArrow(fold, schema)
@@ -95,11 +99,11 @@ def _replayed(reviews: DataFrame, weights: list[float] | None, every: bool) -> D
 
 def card_states(reviews: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """The state of each card after its reviews, and its last grade; reviews without a time or a grade of 1 to 4 don't count."""
-    return _replayed(reviews, weights, False).select("card", "s", "d", "reps", "lapses", "last", "grade")
+    return _replayed(reviews, weights, False).select("card", "s", "d", "reps", "lapses", "last", "grade", "raw")
 
 
 def with_due(cards: DataFrame, retention: float = 0.9, most: int = 3650) -> DataFrame:
-    rows = cards.withColumn("interval", memory.days_until_due(F.col("s"), F.col("grade"), retention, most))
+    rows = cards.withColumn("interval", memory.days_until_due(F.col("raw"), F.col("grade"), retention, most))
     return rows.withColumn("due", F.date_add(F.date_from_unix_date(F.floor("last").cast("int")), F.col("interval")))
 
 

@@ -292,16 +292,6 @@ def reminder(at: Column, due: Column, answered: Column, starts: Column, snoozed_
     )
 
 
-def spread_order(n: int) -> list[int]:
-    """0 to n - 1 by bisection: 0, n/2, n/4, 3n/4 and so on."""
-    order: dict[int, None] = {}
-    parts = 1
-    while len(order) < n and parts <= 4 * n:
-        order.update(dict.fromkeys(k * n // parts for k in range(parts)))
-        parts *= 2
-    return [*order, *(i for i in range(n) if i not in order)]
-
-
 def spread_rank(place: Column, n: Column) -> Column:
     """The place of passage number place among n in bisection order, without a table: by the first round that reaches it, then by its place there."""
     rounds = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda j: F.pow(F.lit(2.0), j).cast("long"))
@@ -319,6 +309,19 @@ def visit_plan(passages: DataFrame) -> DataFrame:
 
 
 def new_ids(rows: DataFrame, slug: Column, second: Column) -> DataFrame:
-    """rows with id: the slug and the second; rows with the same ones get the following free seconds, in the order of ord."""
-    place = F.row_number().over(W.partitionBy(slug, second).orderBy("ord")) - 1
-    return rows.withColumn("id", F.concat_ws("-", slug, (second + place).cast("string")))
+    """rows with id: the slug and a second; no two rows of a slug have the same.
+
+    In the order of second and ord, a row takes its own second, or the one after its predecessor's if that
+    isn't earlier. Rows of one slug and second take seconds in a row, so only the first of each is looked for,
+    on a row for each distinct slug and second.
+    """
+    given = rows.withColumns({"__slug": slug, "__second": second})
+    counts = given.groupBy("__slug", "__second").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__slug").orderBy("__second").rowsBetween(W.unboundedPreceding, -1)
+    up_to = W.partitionBy("__slug").orderBy("__second").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("__ahead", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counts = counts.withColumn("__first", F.max(F.col("__second") - F.col("__ahead")).over(up_to) + F.col("__ahead"))
+    same = F.col("a.__slug").eqNullSafe(F.col("b.__slug")) & (F.col("a.__second") == F.col("b.__second"))
+    place = F.row_number().over(W.partitionBy("__slug", "__second").orderBy("ord")) - 1
+    placed = given.withColumn("__place", place).alias("a").join(counts.select("__slug", "__second", "__first").alias("b"), same)
+    return placed.select(*(F.col(f"a.`{c}`") for c in rows.columns), F.concat_ws("-", F.col("a.__slug"), (F.col("__first") + F.col("__place")).cast("string")).alias("id"))

@@ -106,11 +106,12 @@ def passage_coverage(spark, d):
 
 
 def missing_concepts(spark, d):
+    """Terms are the first words of turns, one to three of them; cards are every other turn of a conversation's user."""
     c = chunks_of(spark, d)
-    concepts = c.select("note", "place", F.concat(F.lit("Term"), (F.col("place") * 7 % 5).cast("string")).alias("term"), (F.col("place") % 3).cast("double").alias("weight"))
+    words = F.split(passages.norm(F.col("text")), " ")
+    concepts = c.select("note", "place", F.array_join(F.slice(words, F.lit(1), F.col("place") % 3 + 1), " ").alias("term"), (F.col("place") % 3).cast("double").alias("weight")).filter("term <> ''")
     placed = c.filter("place % 4 = 0").select("note", "place")
-    cards = c.filter("place = 1").select("note", F.concat(F.lit("What is term"), (F.col("note") % 5).cast("string"), F.lit("?")).alias("text"))
-    return passages.missing_concepts(concepts, placed, cards)
+    return passages.missing_concepts(concepts, placed, c.filter("place % 2 = 0 and role = 'user'").select("note", "text"))
 
 
 def passage_neighbours(spark, d):

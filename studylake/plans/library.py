@@ -346,6 +346,7 @@ def queries() -> dict:
         "reminders": reminders,
         "visit_plan": visit_plan,
         "new_ids": new_ids,
+        "planned_steps": planned_steps,
         "deadlines": deadlines,
         "capture_rules": capture_rules,
         "filed_captures": filed_captures,

@@ -26,14 +26,15 @@ _EASY_D = f"greatest(1, least(10, {w[4]} - exp({w[5]} * 3) + 1))"
 _NEXT_D = f"greatest(1, least(10, {w[7]} * {_EASY_D} + {1 - w[7]} * (d - {w[6]} * (grade - 3) * (10 - d) / 9)))"
 STATES = f"""{REVIEWS}, numbered as (select card, t, grade, row_number() over (partition by card order by t, ord) as i from reviews),
 fold as (
-  select card, 1 as i, t, (case grade when 1 then {w[0]} when 2 then {w[1]} when 3 then {w[2]} else {w[3]} end)::double as s, ({_FIRST_D})::double as d, (grade = 1)::int as lapses, grade as last_grade from numbered where i = 1
+  select card, 1 as i, t, raw, round(raw, 4) as s, round(d, 4) as d, lapses, last_grade from
+    (select card, t, (case grade when 1 then {w[0]} when 2 then {w[1]} when 3 then {w[2]} else {w[3]} end)::double as raw, ({_FIRST_D})::double as d, (grade = 1)::int as lapses, grade as last_grade from numbered where i = 1)
   union all
-  select card, i, t, greatest(0.01, case when e < 1 then s * exp({w[17]} * (grade - 3 + {w[18]}))
+  select card, i, t, raw, round(raw, 4), round(nd, 4), lapses, grade from (select card, i, t, greatest(0.01, case when e < 1 then s * exp({w[17]} * (grade - 3 + {w[18]}))
     when grade = 1 then least(s, {w[11]} * pow(nd, {-w[12]}) * (pow(s + 1, {w[13]}) - 1) * exp({w[14]} * (1 - r)))
-    else s * (1 + exp({w[8]}) * (11 - nd) * pow(s, {-w[9]}) * (exp({w[10]} * (1 - r)) - 1) * case grade when 2 then {w[15]} when 4 then {w[16]} else 1 end) end)::double, nd::double, lapses + (grade = 1)::int, grade
+    else s * (1 + exp({w[8]}) * (11 - nd) * pow(s, {-w[9]}) * (exp({w[10]} * (1 - r)) - 1) * case grade when 2 then {w[15]} when 4 then {w[16]} else 1 end) end)::double as raw, nd::double as nd, lapses + (grade = 1)::int as lapses, grade
   from (select n.card, n.i, n.t, n.grade, f.s, f.lapses, n.t - f.t as e, pow(1 + 19.0 / 81 * (n.t - f.t) / f.s, -0.5) as r, {_NEXT_D} as nd
-    from fold f join numbered n on n.card = f.card and n.i = f.i + 1)),
-states as (select card, i as reps, t as last, s, d, lapses, case when last_grade = 1 then 1 else greatest(1, cast(round_even(least(3650.0, s / (19.0 / 81) * (pow(0.9, -2) - 1)), 0) as int)) end as "interval"
+    from fold f join numbered n on n.card = f.card and n.i = f.i + 1))),
+states as (select card, i as reps, t as last, s, d, lapses, case when last_grade = 1 then 1 else greatest(1, cast(round_even(least(3650.0, raw / (19.0 / 81) * (pow(0.9, -2) - 1)), 0) as int)) end as "interval"
   from fold qualify row_number() over (partition by card order by i desc) = 1),
 cards as (select *, date '1970-01-01' + cast(floor(last) as int) + "interval" as due from states)"""
 

@@ -7,6 +7,7 @@ from .actions import GROUNDED
 from .oracle import CLASSES, PROJECTS, REVIEWS, STEPS
 from .oracle_library import NOTES, SERIES
 
+NORM = "trim(regexp_replace(regexp_replace(replace(lower({}), '’', ''''), '[^a-z0-9'' ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _GRAPH = f"""{NOTES}, edges as (select note as src, note * 3 + 1 as dst from notes where note % 4 = 0 union select note, note from notes where note % 8 = 0)"""
 
 SQL = {
@@ -39,9 +40,12 @@ SQL = {
     "passage_coverage": """with p as (select conv_id as note, turn, role <> 'system' as carded, (conv_id + turn) % 3 > 0 as placed from conversations)
         select note, count(distinct turn) as passages, count(distinct turn) filter (carded and placed) as covered, round(count(distinct turn) filter (carded and placed) / count(distinct turn), 3) as share,
           count(*) filter (carded and placed) as cards, count(*) filter (carded and not placed) as unplaced from p group by note""",
-    "missing_concepts": """with x as (select conv_id as note, turn, turn * 7 % 5 as t, cast(turn % 3 as double) as weight from conversations where turn % 4 <> 0),
-        y as (select x.* from x where not (t = note % 5 and note in (select conv_id from conversations where turn = 1))),
-        z as (select *, row_number() over (partition by note order by weight desc, turn, t) as rank from y) select note, rank, 'Term' || t as term from z where rank <= 12""",
+    "missing_concepts": f"""with n as (select conv_id as note, turn as place, role, {NORM.format("text")} as said from conversations),
+        c as (select note, place, array_to_string(string_split(said, ' ')[1:place % 3 + 1], ' ') as term, place % 3 as weight from n where said <> ''),
+        o as (select * from c qualify row_number() over (partition by note, term order by weight desc, place) = 1),
+        h as (select * from o qualify row_number() over (partition by note order by weight desc, place, term) <= 40),
+        m as (select * from h where place % 4 <> 0 and not exists (select 1 from n where n.note = h.note and n.place % 2 = 0 and n.role = 'user' and contains(n.said, h.term)))
+        select note, row_number() over (partition by note order by weight desc, place, term) as rank, term from m qualify rank <= 12""",
     "passage_neighbours": """select conv_id as note, turn as place, lag(length(text)) over (partition by conv_id order by turn) as before, lead(length(text)) over (partition by conv_id order by turn) as behind from conversations""",
     "word_stems": "select r_regionkey as region, 'study,box,tied,cat,42,gas,' || case lower(r_name) when 'middle east' then 'middle,east' else lower(r_name) end as words from region",
     "grounded_cards": f"""with v as (select * from (values {", ".join(f"({i}, '{c}', '{h}')" for i, (_, _, _, c, h) in enumerate(GROUNDED))}) v(i, citation, how)) select c_custkey as card, citation, how from customer join v on i = c_custkey % {len(GROUNDED)}""",

@@ -109,7 +109,8 @@ SQL = {
     "reminders": """with x as (select event_id as k, cast(date_diff('day', date '1970-01-01', cast(ts as date)) * 1440 + hour(ts) * 60 + minute(ts) as bigint) as t from events)
         select case when k % 5 <= 0 then 'nothing due' when k % 7 = 0 then 'already started' when t % 1440 < 600 then 'too early' when k % 3 = 0 and t < t + k % 2 then 'snoozed'
           when k % 4 > 0 and k % 4 * 45 < 60 then 'within an hour' when k % 4 > 0 and (t - k % 4 * 45) // 1440 = t // 1440 and k % 2 <> 0 then 'already today' else 'fire' end as reason, count(*) as n from x group by 1""",
-    "new_ids": """select event_id as ord, event_type || '-' || (hour(ts) * 60 + minute(ts) + row_number() over (partition by event_type, hour(ts) * 60 + minute(ts) order by event_id) - 1) as id from events""",
+    "new_ids": """with x as (select event_id as ord, event_type as slug, hour(ts) * 60 + minute(ts) as second from events), y as (select *, row_number() over (partition by slug order by second, ord) as i from x)
+        select ord, slug || '-' || (i + max(second - i) over (partition by slug order by i)) as id from y""",
     "deadlines": f"""with x as (select o_orderkey as project, cast(o_orderdate as date) as t from orders), y as (select project, {_cases(1, "date")} as deadline, {_cases(2, "varchar")} as kind from x)
         select project, deadline, kind, coalesce(kind in ('explicit', 'exact', 'manual'), false) as confirmed from y""",
     "capture_rules": f"""with v as (select * from (values {_capture_values()}) v(i, title, level, learning, steps, skills, materials, minutes))

@@ -3,6 +3,8 @@
 import collections
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,36 +65,139 @@ def test_fit_is_the_plain_coordinate_descent(spark):
     assert got["weights"][:4] == pytest.approx(best[:4], rel=1e-4)
 
 
-def test_passages_hold_the_whole_text():
-    text = "# Heat\n\nA short one.\n\n" + "\n\n".join(f"Sentence number {i} of the block is here to be long enough. " * 6 for i in range(8)) + "\n\n## Cold\n\nx\n\n" + "y" * 2000
-    got = passages.cut("Title", text)
-    assert [h for h, _ in got] == ["Heat"] * sum(h == "Heat" for h, _ in got) + ["Cold"] * sum(h == "Cold" for h, _ in got)
-    assert all(t.startswith(f"Title — {h}\n\n") and len(t) <= 920 for h, t in got)
-    whole = " ".join(t for _, t in got)
-    assert all(f"number {i} of" in whole for i in range(8)) and "A short one." in whole
-    assert passages.cut("Title", "") == [("", "Title")] and passages.cut("Title", "tiny") == [("", "Title\n\ntiny")]
-    long = passages.windows("ab. " * 600)
-    assert all(len(p) <= 900 for p in long) and all(p.endswith(".") for p in long)
-    assert sum(map(len, long)) > 2400  # the windows overlap
+def plain_passages(title, body):
+    """Passages by a walk over the blocks, with a list of lists."""
+    groups = [("", [[]])]
+    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", body.strip()))):
+        if m := re.match(r"#{1,6}\s+(.*)$", block):
+            groups.append((m[1].strip(), [[]]))
+        elif sum(map(len, groups[-1][1][-1])) + len(block) > 900 and groups[-1][1][-1]:
+            groups[-1][1].append([block])
+        else:
+            groups[-1][1][-1].append(block)
+    out = []
+    for heading, packs in groups:
+        for text in ("\n\n".join(p) for p in packs if p):
+            if heading or len(text) >= 40:
+                out += [(heading, (f"{title} — {heading}" if heading else title) + "\n\n" + x) for x in plain_pieces(text)]
+    return out or [("", title + (f"\n\n{body.strip()}" if body.strip() else ""))]
+
+
+def plain_pieces(text):
+    if len(text) <= 900:
+        return [text]
+    out, a = [], 0
+    while True:
+        b = min(len(text), a + 900)
+        if b < len(text) and (dots := [i for i in range(a + 40, b - 1) if text[i : i + 2] == ". "]):
+            b = dots[-1] + 1
+        out.append(text[a:b].strip())
+        if b == len(text):
+            return [x for x in out if len(x) >= 40]
+        a = max(a + 1, b - 150)
+
+
+def passages_of(spark, notes):
+    got = passages.passages(spark.createDataFrame(notes, "note bigint, title string, body string")).orderBy("note", "place").collect()
+    by_note = collections.defaultdict(list)
+    for r in got:
+        assert r["place"] == len(by_note[r["note"]])
+        by_note[r["note"]].append((r["heading"], r["text"]))
+    return by_note
+
+
+def test_passages(spark):
+    long = "\n\n".join(f"Sentence number {i} of the block is here to be long enough. " * 6 for i in range(8))
+    bodies = ["", " \n", "tiny", "tiny\n\nbits", "# Only\n\n## Heads", "# Heat\n\nA short one.\n\n" + long + "\n\n## Cold\n\nx\n\n" + "y" * 2000, "short\n\n# H\n\nb", "lead of at least forty characters, or more than that\n\n" * 30, "ab. " * 600, "No stop " * 300, "Early. " + "z" * 3000, "a" * 900, "a" * 901]
+    got = passages_of(spark, [(i, "Title", b) for i, b in enumerate(bodies)] + [(99, None, None)])
+    for i, b in enumerate(bodies):
+        assert got[i] == plain_passages("Title", b), i
+    assert got[99] == [("", "")]
+
+
+def test_passages_of_documents(spark):
+    rows = [(r["doc_id"], f"T{r['doc_id']}", r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = passages_of(spark, rows)
+    assert all(got[i] == plain_passages(t, b) for i, t, b in rows)
+
+
+def plain_plan(steps, busy, begin):
+    """The first minute of each step, by trying minute after minute: a step gives way to what is taken, with a gap behind it."""
+    taken, used, at, out = list(busy), collections.Counter(), begin, []
+    for a, b in busy:
+        used[a // 1440] += b - a
+    for size in steps:
+        if size > 180:
+            out.append(None)
+            continue
+        t = at
+        while True:
+            day = t // 1440
+            if dt.date.fromordinal(719163 + day).weekday() > 4 or used[day] + size > 180 or t % 1440 > 1080 - size:
+                t = (day + 1) * 1440
+            elif t % 1440 < 540:
+                t = day * 1440 + 540
+            elif any(a < t + size and t < b for a, b in taken):
+                t = min(b for a, b in taken if a < t + size and t < b) + 15
+            else:
+                break
+        taken.append((t, t + size))
+        used[t // 1440] += size
+        at = t + size + 15
+        out.append(t)
+    return out
 
 
-def test_planned_steps_do_not_clash(spark):
+def test_planned_steps_take_the_first_free_slot(spark):
     got = library.planned_steps(spark, SMALL).collect()
     begin = 10374 * 1440
+    busy = [(begin + i * 1440 + 600, begin + i * 1440 + 720) for i in range(14)]
     by_owner = collections.defaultdict(list)
     for r in got:
-        by_owner[r["owner"]].append((r["start"], r["stop"]))
+        by_owner[r["owner"]].append(r)
+    sizes = {(r["project"], r["step"]): r["minutes"] for r in views.steps(spark, SMALL).filter("not done").groupBy("project", "step").agg(F.max("minutes").alias("minutes")).collect()}
     assert got
-    for slots in by_owner.values():
-        slots.sort()
-        busy = [(begin + i * 1440 + 600, begin + i * 1440 + 720) for i in range(14)]
-        used = collections.Counter()
-        for (a, b), later in zip(slots, [*slots[1:], (math.inf, 0)], strict=True):
-            assert a >= begin and b <= later[0] and not any(x < b and a < y for x, y in busy)
-            day = dt.date(1970, 1, 1) + dt.timedelta(days=a // 1440)
-            assert day.weekday() < 5 and 540 <= a % 1440 and b <= a // 1440 * 1440 + 1260
-            used[a // 1440] += b - a
-        assert all(n + (120 if begin <= d * 1440 < begin + 14 * 1440 else 0) <= 180 for d, n in used.items())
+    for rows in by_owner.values():
+        rows.sort(key=lambda r: (r["step"], r["project"]))
+        assert [r["start"] for r in rows] == plain_plan([sizes[r["project"], r["step"]] for r in rows], busy, begin)
+        assert all(r["stop"] - r["start"] == sizes[r["project"], r["step"]] and r["stop"] % 1440 <= 1080 for r in rows)
+
+
+def test_plans_around_appointments(spark):
+    rng = random.Random(8)
+    todo, busy, want = [], [], {}
+    for owner in range(40):
+        begin = 10374 * 1440
+        mine = sorted((begin + d * 1440 + 480 + rng.randrange(600), rng.choice((10, 45, 90))) for d in range(5) for _ in range(rng.randrange(4)))
+        steps = [rng.choice((15, 30, 60, 170, 181)) for _ in range(12)]
+        busy += [(owner, a, a + n) for a, n in mine]
+        todo += [(owner, 1, i, i, n) for i, n in enumerate(steps)]
+        want[owner] = plain_plan(steps, [(a, a + n) for a, n in mine], begin)
+    got = calendar.planned(spark.createDataFrame(todo, "owner bigint, project bigint, step int, place int, minutes int"), spark.createDataFrame(busy, "owner bigint, start bigint, stop bigint"), 10374 * 1440)
+    by_owner = collections.defaultdict(dict)
+    for r in got.collect():
+        by_owner[r["owner"]][r["step"]] = r["start"]
+    assert all([by_owner[o][i] for i in range(12)] == starts for o, starts in want.items())
+
+
+def test_new_ids_are_unique_and_never_early(spark):
+    rows = [(r["ord"], r["id"]) for r in registry.queries()["new_ids"](spark, SMALL).collect()]
+    assert len({i for _, i in rows}) == len(rows) == 1000
+    events = {r["event_id"]: (r["event_type"], r["ts"].hour * 60 + r["ts"].minute) for r in spark.read.parquet(f"{SMALL}/events.parquet").collect()}
+    for o, i in rows:
+        assert i.rsplit("-", 1)[0] == events[o][0] and int(i.rsplit("-", 1)[1]) >= events[o][1]
+
+
+def test_missing_concepts_of_several_words(spark):
+    concepts = spark.createDataFrame([(1, "Opportunity cost", 0, 2.0), (1, "sunk cost", 0, 1.0), (1, "SUNK cost", 1, 0.5), (1, "placed one", 2, 3.0)], "note bigint, term string, place int, weight double")
+    placed = spark.createDataFrame([(1, 2)], "note bigint, place int")
+    cards = spark.createDataFrame([(1, "What is the opportunity-cost of it?"), (2, "sunk cost")], "note bigint, text string")
+    assert [tuple(r) for r in passages.missing_concepts(concepts, placed, cards).collect()] == [(1, 1, "sunk cost")]
+
+
+def test_states_are_kept_at_four_places(spark):
+    got = study.card_states(views.reviews(spark, SMALL)).collect()
+    assert got and all(r["s"] == round(r["s"], 4) and r["d"] == round(r["d"], 4) and abs(r["raw"] - r["s"]) <= 5.1e-5 for r in got)
 
 
 def test_vault_of_files(spark, tmp_path):
