@@ -16,8 +16,8 @@ OPTIONS, LENGTHS, SHORT_CHARS = (3, 5), (0.4, 1.6), 12
 GIVEAWAY = r"(?i)\b(?:all|none|both|any) of (?:the )?(?:above|these|them)\b|\bboth [a-d] and [a-d]\b|\bnot (?:listed|given)\b"
 # fixed values: shares of a reference's words from which an answer is good or partly so
 SOUND, PARTIAL, RECALLED, HALF_RECALLED = 0.5, 0.2, 0.7, 0.4
-# fixed values: the score from which a link is made without asking, the least of a suggestion, the shortest title that is looked for
-AUTO_LINK, LEAST_LINK, TITLE_CHARS = 0.62, 0.35, 5
+# fixed values: the score from which a link is made without asking, the least of a suggestion
+AUTO_LINK, LEAST_LINK = 0.62, 0.35
 # fixed values: bounds of a glossary line
 TERM_CHARS, TERM_WORDS, DEFINITION_WORDS, GLOSSARY_SHARE = 60, 8, 60, 0.75
 ALERT_AT, LOOKBACK = 2, 12
@@ -90,29 +90,6 @@ def glossaries(notes: DataFrame, key: str, text: str) -> DataFrame:
     return counts.select(key, "lines", "entries", share.alias("share"), (F.col("entries") / F.col("lines") >= GLOSSARY_SHARE).alias("glossary"))
 
 
-def is_matchable(title: Column) -> Column:
-    return (F.length(F.trim(title)) >= TITLE_CHARS) & title.rlike("[A-Za-z]")
-
-
-def mentions(notes: DataFrame, titles: DataFrame, most_words: int = 6) -> DataFrame:
-    """(note, target) for each title that a note's text names, the longest at each place; notes: note, text; titles: note, title of at most most_words words.
-
-    Texts become runs of words that are joined with titles by equality; of those that overlap, the first
-    and there the longest counts, by one pass over a note's own hits.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    rows = notes.select("note", words.alias("words"))
-    places = F.sequence(F.lit(0), F.size("words") - 1)
-    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("words") - i)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("name")))))
-    grams = rows.filter(F.size("words") > 0).select("note", F.explode(runs).alias("g")).select("note", "g.*")
-    name = F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
-    known = titles.filter(is_matchable(F.col("title"))).groupBy(name.alias("name")).agg(F.min("note").alias("target"))
-    hits = grams.join(known, "name").groupBy("note").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("shorter"), "target"))).alias("hits"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<bigint>").alias("found"))
-    taken = F.aggregate("hits", start, lambda a, h: F.when(h["at"] >= a["end"], F.struct((h["at"] - h["shorter"]).alias("end"), F.array_append(a["found"], h["target"]).alias("found"))).otherwise(a))
-    return hits.select("note", F.explode(F.array_distinct(taken["found"])).alias("target")).filter("note <> target")
-
-
 def suggested_links(scored: DataFrame, made: DataFrame, k: int = 5) -> DataFrame:
     """(note, target, tier): the k best of scored (note, target, score) that aren't made yet; sure ones are linked, others asked about."""
     rows = scored.filter((F.col("score") >= LEAST_LINK) & (F.col("note") != F.col("target"))).join(made.select("note", "target").distinct(), ["note", "target"], "left_anti")

@@ -99,12 +99,6 @@ def chunks_of(spark, d):
     return views.table(spark, d, "conversations").select(F.col("conv_id").alias("note"), F.col("turn").alias("place"), "role", "text")
 
 
-def passage_coverage(spark, d):
-    c = chunks_of(spark, d)
-    placed = c.filter("role <> 'system'").select("note", F.when((F.col("note") + F.col("place")) % 3 > 0, F.col("place")).alias("place"))
-    return passages.coverage(c, placed)
-
-
 def missing_concepts(spark, d):
     """Terms are the first words of turns, one to three of them; cards are every other turn of a conversation's user."""
     c = chunks_of(spark, d)
@@ -173,7 +167,6 @@ def queries() -> dict:
         "orphans": orphans,
         "card_kinds": card_kinds,
         "passage_sizes": passage_sizes,
-        "passage_coverage": passage_coverage,
         "missing_concepts": missing_concepts,
         "passage_neighbours": passage_neighbours,
         "word_stems": word_stems,

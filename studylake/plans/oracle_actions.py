@@ -37,9 +37,6 @@ SQL = {
     "backlinks": f"with {_GRAPH} select n.note, e.src from edges e join notes n on n.note = e.dst where e.src <> n.note",
     "orphans": f"with {_GRAPH} select note from notes where note not in (select src from edges) and note not in (select dst from edges where src <> dst)",
     "card_kinds": """select case when c_custkey % 5 = 0 then 'mcq' when c_custkey % 3 = 0 then 'cloze' when c_custkey % 2 = 0 then 'recall' else 'basic' end as kind, count(*) as cards from customer group by 1""",
-    "passage_coverage": """with p as (select conv_id as note, turn, role <> 'system' as carded, (conv_id + turn) % 3 > 0 as placed from conversations)
-        select note, count(distinct turn) as passages, count(distinct turn) filter (carded and placed) as covered, round(count(distinct turn) filter (carded and placed) / count(distinct turn), 3) as share,
-          count(*) filter (carded and placed) as cards, count(*) filter (carded and not placed) as unplaced from p group by note""",
     "missing_concepts": f"""with n as (select conv_id as note, turn as place, role, {NORM.format("text")} as said from conversations),
         c as (select note, place, array_to_string(string_split(said, ' ')[1:place % 3 + 1], ' ') as term, place % 3 as weight from n where said <> ''),
         o as (select * from c qualify row_number() over (partition by note, term order by weight desc, place) = 1),

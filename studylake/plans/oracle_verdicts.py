@@ -16,8 +16,6 @@ SQL = {
         select note, 3 as lines, entries, round(entries / 3, 3) as share, entries / 3 >= 0.75 as glossary from x""",
     "answer_overlap": """with x as (select (1 + (c_custkey % 2 = 0)::int + (c_custkey % 3 = 0)::int + (c_custkey % 5 = 0)::int) / 4 as share from customer)
         select share, case when share >= 0.5 then 'sound' when share >= 0.2 then 'partial' else 'off' end as verdict, case when share >= 0.7 then 3 when share >= 0.4 then 2 else 1 end as grade, count(*) as n from x group by share""",
-    "title_mentions": """with n as (select p_partkey as note from part where p_partkey < 400)
-        select note, case when (note + 1) % 10 = 0 then note + 1001 else note + 1 end as target from n where note + 1 < 400 union all select note, note + 3 from n where note + 3 < 400""",
     "suggested_links": f"with {_LINKS} select note, target, tier from linked",
     "link_tiers": f"with {_LINKS} select tier, count(*) as links, count(distinct note) as notes from linked group by tier",
     "habit_streaks": """with l as (select user_id as note, cast(ts as date) as d, case user_id % 3 when 0 then 'day' when 1 then 'week' else 'month' end as unit, 1 + user_id % 3 as target from events where user_id % 7 <> 0 or cast(ts as date) < date '2024-01-12'),

@@ -56,14 +56,6 @@ def answer_overlap(spark, d):
     return rows.groupBy("share").agg(F.count(F.lit(1)).alias("n")).select("share", judgement.explanation_verdict(F.col("share")).alias("verdict"), judgement.recall_grade(F.col("share")).alias("grade"), "n")
 
 
-def title_mentions(spark, d):
-    """Notes that name two other titles, one of which is the head of a longer one."""
-    n = views.notes(spark, d).filter("note < 400").select("note", F.concat(F.lit("Title"), F.col("note").cast("string")).alias("title"))
-    longer = n.filter("note % 10 = 0").select((F.col("note") + 1000).alias("note"), F.concat("title", F.lit(" the Second")).alias("title"))
-    text = F.concat(F.lit("see title"), (F.col("note") + 1).cast("string"), F.lit(" the second, and TITLE"), (F.col("note") + 3).cast("string"), F.lit("."))
-    return judgement.mentions(n.select("note", text.alias("text")), n.unionByName(longer))
-
-
 def suggested_links(spark, d):
     n = views.notes(spark, d).select("note")
     scored = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("note", ((F.col("note") * 7 + F.col("i") * 13) % 2000).alias("target"), (((F.col("note") + F.col("i")) * 37 % 100) / 100).alias("score"))
@@ -101,7 +93,6 @@ def queries() -> dict:
         "choice_verdicts": choice_verdicts,
         "glossary_lines": glossary_lines,
         "answer_overlap": answer_overlap,
-        "title_mentions": title_mentions,
         "suggested_links": suggested_links,
         "link_tiers": lambda k, d: judgement.link_tiers(suggested_links(k, d)),
         "habit_streaks": habit_streaks,
