@@ -1,11 +1,7 @@
-"""Ranked retrieval: words weighted by rarity, and cosine similarity with a cap per group."""
+"""Ranked retrieval by words weighted by rarity, and how good a ranking is."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +9,6 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 
 KEYWORD_FLOOR, ANSWERABLE_FLOOR = 0.34, 0.19  # fixed values: the least score and the least share of the whole question
-QUERY_BLOCK = 1024  # questions that are broadcast at once
 DIGITS = 9  # scores are compared to so many places, so that the order of sums doesn't matter
 
 
@@ -57,44 +52,6 @@ def search(docs: DataFrame, questions: DataFrame, key: str, text: str, k: int =
     return admitted.withColumn("rank", rank).filter(F.col("rank") <= k).select("question", "rank", key, "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, per_group: int = 2) -> DataFrame:
-    """(query, rank, id, score): the k nearest of vectors (id, group, vector) to each of queries (query, vector), at most per_group of a group.
-
-    Queries come in blocks of a fixed size; each task keeps its own best rows of a block, so few are shuffled.
-    """
-    spark = vectors.sparkSession
-    blocks = 1 + queries.count() // QUERY_BLOCK
-    found = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()  # about QUERY_BLOCK rows
-        known = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            asked = known.value
-            if not len(asked):
-                return
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            q = unit(np.stack(asked["vector"].to_list()).astype(np.float64))
-            for batch in batches:
-                batch = batch[batch["vector"].notna()]
-                batch = batch[batch["vector"].map(len) == q.shape[1]]
-                if not len(batch):
-                    continue
-                scores = np.round(unit(np.stack(batch["vector"].to_list()).astype(np.float64)) @ q.T, 6)
-                ids, groups = batch["id"].to_numpy(), batch["group"].to_numpy()
-                for j, name in enumerate(asked["query"]):
-                    order = np.lexsort((ids, -scores[:, j]))
-                    place = pd.Series(groups[order]).groupby(groups[order], dropna=False).cumcount().to_numpy()
-                    top = order[place < per_group][:k]
-                    yield pd.DataFrame({"query": name, "id": ids[top], "group": groups[top], "score": scores[top, j]})
-
-        part = vectors.select("id", "group", "vector").mapInPandas(best, "query bigint, id bigint, group bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    order = [F.desc("score"), "id"]
-    capped = found.withColumn("place", F.row_number().over(W.partitionBy("query", "group").orderBy(*order))).filter(F.col("place") <= per_group)
-    return capped.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
-
-
 def evaluation(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """Hit shares and mean reciprocal rank of ranked (query, rank, group) against expected (query, group)."""
     first = ranked.join(expected, ["query", "group"]).groupBy("query").agg(F.min("rank").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import memory
-from ..operators import links, passages, retrieval, sessions, statistics, study, transitions
+from ..operators import links, passages, sessions, statistics, study, transitions, vectors
 from ..sources import views
 from .library import TODAY, series
 
@@ -137,7 +137,7 @@ def grounded_cards(spark, d):
 def blended_search(spark, d):
     """Vectors near each asked one, with a keyword score for every third of them."""
     v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("group"), F.col("embedding").alias("vector"))
-    near = retrieval.nearest(v, v.filter("id % 100 = 0").select(F.col("id").alias("query"), "vector"), 50, 50)
+    near = vectors.nearest(v, v.filter("id % 100 = 0").select(F.col("id").alias("query"), "vector"), 50, 50)
     near = near.join(v.select("id", "group"), "id").select(F.col("query").alias("question"), F.col("group").alias("note"), F.col("id").alias("place"), "score")
     words = near.filter("place % 3 = 0").select("question", "note", "place", (F.col("place") % 10 / 10).alias("score"))
     return passages.blended(words, near)

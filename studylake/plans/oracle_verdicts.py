@@ -6,8 +6,12 @@ from .oracle import PROJECTS, STEPS
 from .oracle_library import NOTES
 from .verdicts import CHOICES, LINES
 
-_LINKS = """scored as (select p_partkey as note, (p_partkey * 7 + i * 13) % 2000 as target, ((p_partkey + i) * 37 % 100) / 100 as score, p_partkey % 2 = 0 and (p_partkey * 7 + i * 13) % 2000 = p_partkey * 7 % 2000 as made from part, range(9) t(i)),
-  placed as (select *, row_number() over (partition by note order by score desc, target) as place from scored where score >= 0.35 and note <> target and not made),
+_LINKS = """v as (select vec_id, embedding::double[] as e from embeddings),
+  s as (select a.vec_id as note, b.vec_id as target, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) as score from v a, v b),
+  first_ as (select * from s qualify row_number() over (partition by note order by score desc, target) <= 24),
+  scored as (select * from first_ where score >= 0.35 and note <> target and not (note % 2 = 0 and target between note + 1 and note + 6)),
+  near as (select * from scored qualify row_number() over (partition by note order by score desc, target) <= 12),
+  placed as (select *, row_number() over (partition by note order by score desc, target) as place from near),
   linked as (select note, target, case when score >= 0.62 then 'sure' else 'ask' end as tier from placed where place <= 5)"""
 
 SQL = {
@@ -16,6 +20,7 @@ SQL = {
         select note, 3 as lines, entries, round(entries / 3, 3) as share, entries / 3 >= 0.75 as glossary from x""",
     "answer_overlap": """with x as (select (1 + (c_custkey % 2 = 0)::int + (c_custkey % 3 = 0)::int + (c_custkey % 5 = 0)::int) / 4 as share from customer)
         select share, case when share >= 0.5 then 'sound' when share >= 0.2 then 'partial' else 'off' end as verdict, case when share >= 0.7 then 3 when share >= 0.4 then 2 else 1 end as grade, count(*) as n from x group by share""",
+    "related_notes": f"with {_LINKS} select note, target, score from near",
     "suggested_links": f"with {_LINKS} select note, target, tier from linked",
     "link_tiers": f"with {_LINKS} select tier, count(*) as links, count(distinct note) as notes from linked group by tier",
     "habit_streaks": """with l as (select user_id as note, cast(ts as date) as d, case user_id % 3 when 0 then 'day' when 1 then 'week' else 'month' end as unit, 1 + user_id % 3 as target from events where user_id % 7 <> 0 or cast(ts as date) < date '2024-01-12'),

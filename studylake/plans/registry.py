@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import links, planning, retrieval, statistics, study
+from ..operators import links, planning, retrieval, statistics, study, vectors
 from ..sources import views
 from . import actions, cuts, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, quotations, sessions, verdicts
 from .oracle import SQL
@@ -30,11 +30,11 @@ def asked_vectors(spark, d):
 
 
 def vector_topk(spark, d):
-    return retrieval.nearest(vectors_of(spark, d), asked_vectors(spark, d).select("query", "vector"))
+    return vectors.nearest(vectors_of(spark, d), asked_vectors(spark, d).select("query", "vector"))
 
 
 def retrieval_quality(spark, d):
-    ranked = retrieval.nearest(vectors_of(spark, d), asked_vectors(spark, d).select("query", "vector"), per_group=6)
+    ranked = vectors.nearest(vectors_of(spark, d), asked_vectors(spark, d).select("query", "vector"), per_group=6)
     ranked = ranked.join(vectors_of(spark, d).select("id", "group"), "id").filter("id <> query")
     return retrieval.evaluation(ranked, asked_vectors(spark, d).select("query", "group"))
 

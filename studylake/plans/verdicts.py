@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import judgement, planning, upkeep, vault
+from ..operators import judgement, planning, upkeep, vault, vectors
 from ..sources import views
 from .library import PROJECT_TODAY, TODAY, note_dates
 
@@ -56,11 +56,20 @@ def answer_overlap(spark, d):
     return rows.groupBy("share").agg(F.count(F.lit(1)).alias("n")).select("share", judgement.explanation_verdict(F.col("share")).alias("verdict"), judgement.recall_grade(F.col("share")).alias("grade"), "n")
 
 
+def linked_vectors(spark, d):
+    """Every vector as a note, and the links that notes have: each even one links to the next six."""
+    v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("note"), F.col("embedding").alias("vector"))
+    made = v.filter("note % 2 = 0").select("note", F.explode(F.sequence(F.col("note") + 1, F.col("note") + 6)).alias("target"))
+    return v, made
+
+
+def related_notes(spark, d):
+    return vectors.related(*linked_vectors(spark, d), judgement.LEAST_LINK)
+
+
 def suggested_links(spark, d):
-    n = views.notes(spark, d).select("note")
-    scored = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("note", ((F.col("note") * 7 + F.col("i") * 13) % 2000).alias("target"), (((F.col("note") + F.col("i")) * 37 % 100) / 100).alias("score"))
-    made = n.filter("note % 2 = 0").select("note", (F.col("note") * 7 % 2000).alias("target"))
-    return judgement.suggested_links(scored, made)
+    v, made = linked_vectors(spark, d)
+    return judgement.suggested_links(vectors.related(v, made, judgement.LEAST_LINK), made)
 
 
 def habit_streaks(spark, d):
@@ -93,6 +102,7 @@ def queries() -> dict:
         "choice_verdicts": choice_verdicts,
         "glossary_lines": glossary_lines,
         "answer_overlap": answer_overlap,
+        "related_notes": related_notes,
         "suggested_links": suggested_links,
         "link_tiers": lambda k, d: judgement.link_tiers(suggested_links(k, d)),
         "habit_streaks": habit_streaks,
