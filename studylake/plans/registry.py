@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, planning, retrieval, statistics, study, vectors
 from ..sources import views
-from . import actions, cuts, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, quotations, sessions, verdicts
+from . import actions, captured, cuts, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, quotations, sessions, verdicts
 from .oracle import SQL
 
 EVENTS_TODAY, ORDERS_TODAY = "2024-01-31", "1998-08-02"
@@ -120,8 +120,9 @@ def queries() -> dict:
         **cuts.queries(),
         **names.queries(),
         **quotations.queries(),
+        **captured.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL | quotations.SQL | oracle_names.SQL
+    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL | quotations.SQL | captured.SQL | oracle_names.SQL
