@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import captures
+
 # fixed values: words of a part at most, and of a fragment under a heading or elsewhere that joins the part before it
 MOST_WORDS, LEAST_UNDER_HEADING, LEAST_WORDS = 400, 12, 30
+SPLIT_FLOOR = 120  # fixed value: words from which a text without marks is cut
 FENCE, HEADING, RULE = r"^\s{0,3}(```|~~~)", r"^(#{1,6})\s+(.*?)\s*#*\s*$", r"^\s{0,3}([-*_])(?:\s*\1){2,}\s*$"
 BULLET, TABLE = r"^\s*(?:[-*+]|\d+[.)])\s+", r"^\s*\|.*\|\s*$"
 
@@ -106,3 +109,101 @@ def lost_lines(notes: DataFrame, cut: DataFrame, key: str = "note", text: str =
     """Lines of notes that neither bodies nor titles of their sections (cut: key, title, body) have."""
     have = cut.select(key, F.explode(comparable(F.concat_ws("\n", "title", "body"))).alias("line")).distinct()
     return notes.select(key, F.explode(comparable(F.col(text))).alias("line")).join(have, [key, "line"], "left_anti")
+
+
+def block_texts(notes: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
+    """The blocks of notes with their text, and of headings level and title."""
+    rows = lines(notes, key, text).filter("kind <> 'blank'")
+    w = W.partitionBy(key).orderBy("at")
+    gap = (F.col("at") - F.lag("at").over(w) > 1) & (F.col("kind") != "code")
+    apart = F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind")) | gap | F.col("kind").isin("heading", "rule")
+    rows = rows.withColumn("block", F.sum(apart.cast("int")).over(w) - 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    title = F.max(F.when(F.col("kind") == "heading", F.regexp_extract("line", HEADING, 2)))
+    return rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), title.alias("title"), joined.alias("text"), F.sum(word_count(F.col("line"))).alias("words"))
+
+
+def plans(blocks_: DataFrame, key: str = "note", topics: DataFrame | None = None) -> DataFrame:
+    """(key, plan, cut, words): how each note is cut, the first that its blocks allow: whole, heading (at levels up to cut), rule, topic (if a model has named two) or size."""
+    heads = blocks_.filter("kind = 'heading'").groupBy(key, "level").agg(F.count(F.lit(1)).alias("n"))
+    cut = heads.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("n") > 1, F.col("level"))), F.max("level")).alias("cut"))
+    rows = blocks_.groupBy(key).agg(F.sum("words").alias("words"), F.bool_or(F.col("kind") == "rule").alias("ruled")).join(cut, key, "left")
+    named = F.lit(False)
+    if topics is not None:
+        rows = rows.join(topics.groupBy(key).agg(F.countDistinct("block").alias("topics")), key, "left")
+        named = F.coalesce(F.col("topics") >= 2, F.lit(False))
+    plan = F.when(F.col("cut").isNotNull(), "heading").when(F.col("ruled"), "rule").when(F.col("words") < SPLIT_FLOOR, "whole").when(named, "topic").otherwise("size")
+    return rows.select(key, plan.alias("plan"), "cut", "words")
+
+
+def segmented(notes: DataFrame, key: str = "note", text: str = "text", topics: DataFrame | None = None, most: int = MOST_WORDS) -> DataFrame:
+    """(key, ordinal, plan, boundary, title, path, body, words): the notes that each text (key, text) is made of, without losing a line.
+
+    Each text is cut by its own plan (see `plans`; topics: key, block, title, where a model sees one begin). What
+    is larger than most is packed again, block by block; then a fragment joins the segment before it where both
+    have room, and a first one the segment behind it; a joined one brings its heading along.
+    """
+    each = block_texts(notes, key, text)
+    each = each.join(plans(each, key, topics), key).drop("words").join(each.select(key, "block", "words"), [key, "block"])
+    order = W.partitionBy(key).orderBy("block")
+    head = (F.col("plan") == "heading") & (F.col("kind") == "heading") & (F.col("level") <= F.col("cut"))
+    rule = (F.col("plan") == "rule") & (F.col("kind") == "rule")
+    topic = F.lit(False)
+    each = each.withColumn("named", F.lit(None).cast("string"))
+    if topics is not None:
+        marks = topics.select(key, "block", F.col("title").alias("__named"))
+        each = each.join(marks, [key, "block"], "left").withColumn("named", F.col("__named")).drop("__named")
+        topic = (F.col("plan") == "topic") & F.col("named").isNotNull()
+    each = each.withColumns({"head": F.coalesce(head, F.lit(False)), "segment": F.sum(F.coalesce(head | rule | topic, F.lit(False)).cast("int")).over(order)})
+    name = F.max(F.coalesce(F.when(F.col("head"), F.col("title")), F.col("named"))).over(W.partitionBy(key, "segment"))
+    # the headings in force above a cut: of each level the last one, as far as nothing shallower has come since
+    above = [F.last(F.when(F.col("head") & (F.col("level") <= n), F.when(F.col("level") == n, F.col("title")).otherwise(F.lit(""))), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)) for n in range(1, 6)]
+    path = F.filter(F.array(*(F.when(F.col("level") > n + 1, x) for n, x in enumerate(above))), lambda x: x.isNotNull() & (x != ""))
+    each = each.withColumns({"name": name, "path": F.first(F.when(F.col("head"), path), ignorenulls=True).over(W.partitionBy(key, "segment"))})
+    # a mark is no part of a body; a rule that begins one, and any rule in other plans, is left out
+    solid = F.count_if(~F.col("head") & (F.col("kind") != "rule")).over(W.partitionBy(key, "segment").orderBy("block"))
+    each = each.withColumn("solid", solid)
+    body = each.filter(~F.col("head") & ~((F.col("kind") == "rule") & ((F.col("plan") != "heading") | (F.col("solid") == 0))))
+    whole = body.groupBy(key, "segment").agg(F.first("plan").alias("plan"), F.first("name").alias("name"), F.first("path").alias("path"), F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("block", "words", "text"))).alias("b"))
+    large = F.col("words") > most
+    parts = F.when(large, parts_by_size(F.transform("b", lambda x: x["words"]), most)).otherwise(F.transform("b", lambda x: F.lit(0)))
+    whole = whole.withColumn("parts", parts).withColumn("n_parts", F.array_max("parts") + 1)
+    pieces = whole.select(key, "segment", "plan", "name", "path", "n_parts", F.explode(F.arrays_zip(F.col("b").alias("b"), F.col("parts").alias("part"))).alias("z"))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.b.block", "z.b.text"))), lambda x: x["text"]), "\n\n")
+    cut = pieces.groupBy(key, "segment", F.col("z.part").alias("part")).agg(*(F.first(c).alias(c) for c in ("plan", "name", "path", "n_parts")), F.sum("z.b.words").alias("words"), text_.alias("body"))
+    split = (F.col("n_parts") > 1) & (F.col("plan") != "size")
+    numbered = F.concat("name", F.lit(" ("), F.col("part") + 1, F.lit("/"), "n_parts", F.lit(")"))
+    own = F.coalesce("path", F.array().cast("array<string>"))
+    cut = cut.select(key, "segment", "part", "plan", "words", "body", F.when(split, numbered).otherwise(F.col("name")).alias("title"), F.when(split & F.col("name").isNotNull(), F.array_append(own, F.col("name"))).otherwise(own).alias("path"), F.concat("plan", F.when(split, "+size").otherwise("")).alias("boundary"))
+    return _without_fragments(cut, key, most)
+
+
+def _without_fragments(cut: DataFrame, key: str, most: int) -> DataFrame:
+    """Segments (key, segment, part, plan, boundary, title, path, body, words) with fragments joined to a neighbour, numbered."""
+    at = F.row_number().over(W.partitionBy(key).orderBy("segment", "part")) - 1
+    least = F.when(F.col("plan") == "heading", LEAST_UNDER_HEADING).otherwise(LEAST_WORDS)
+    carried = F.when(F.col("title").isNull(), 0).otherwise(1 + word_count(F.col("title")))
+    rows = cut.withColumns({"at": at, "least": least, "carried": carried})
+    sizes = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col("words").cast("long").alias("words"), "least", "carried"))).alias("s"))
+    start = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("room"), F.array().cast("array<int>").alias("groups"))
+
+    def step(a: Column, x: Column) -> Column:
+        joins = (a["group"] >= 0) & (x["words"] < x["least"]) & (a["room"] + x["words"] <= most)
+        group = F.when(joins, a["group"]).otherwise(a["group"] + 1)
+        return F.struct(group.alias("group"), F.when(joins, a["room"] + x["words"] + x["carried"]).otherwise(x["words"]).alias("room"), F.array_append(a["groups"], group).alias("groups"))
+
+    grouped = sizes.select(key, F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("at"), F.aggregate("s", start, step)["groups"].alias("group"))).alias("z")).select(key, "z.*")
+    rows = rows.join(grouped, [key, "at"])
+    lead = F.row_number().over(W.partitionBy(key, "group").orderBy("at")) == 1
+    rows = rows.withColumn("lead", lead).withColumn("all", F.sum(F.col("words") + F.when(F.col("lead"), 0).otherwise(F.col("carried"))).over(W.partitionBy(key, "group")))
+    of = W.partitionBy(key)
+    first, second = (F.max(F.when(F.col("group") == g, F.col("all"))).over(of) for g in (0, 1))
+    floor = F.max(F.when(F.col("at") == 0, F.col("least"))).over(of)
+    rows = rows.withColumn("forward", F.coalesce((first < floor) & (first + second <= most), F.lit(False)))
+    moved = F.col("forward") & (F.col("group") == 0)
+    rows = rows.withColumns({"lead": F.col("lead") & ~moved, "group": F.when(moved, 1).otherwise(F.col("group"))})
+    told = F.when(F.col("lead") | F.col("title").isNull(), F.col("body")).otherwise(F.concat(F.lit("## "), "title", F.lit("\n\n"), "body"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", told.alias("t")))), lambda x: x["t"]), "\n\n")
+    out = rows.groupBy(key, "group").agg(*(F.max(F.when(F.col("lead"), F.col(c))).alias(c) for c in ("plan", "boundary", "title", "path")), F.btrim(joined, F.lit("\n")).alias("body"))
+    ordinal = F.row_number().over(W.partitionBy(key).orderBy("group"))
+    return out.select(key, ordinal.alias("ordinal"), "plan", "boundary", F.coalesce("title", captures.title(F.col("body"))).alias("title"), "path", "body", word_count(F.col("body")).alias("words"))

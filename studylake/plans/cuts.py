@@ -22,8 +22,35 @@ def lossless(spark, d):
     return segments.lost_lines(notes, cut).groupBy("line").agg(F.count(F.lit(1)).alias("notes"))
 
 
+def marked_documents(spark, d):
+    """Whole documents as notes; some lines are headings or rules, by their number."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("note"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    n, at = F.col("note"), F.col("at")
+    mark = F.when((n % 4 == 0) & (at % 3 == 0), F.concat(F.repeat(F.lit("#"), (at % 2 + 1).cast("int")), F.lit(" "), F.substring("line", 1, 20), F.lit(" "), at)).when((n % 4 == 1) & (at % 5 == 2), F.lit("---"))
+    rows = docs.select("note", "at", F.concat_ws("\n", mark, "line", F.lit("")).alias("line"))
+    return rows.groupBy("note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def segment_plans(spark, d):
+    return segments.plans(segments.block_texts(marked_documents(spark, d)))
+
+
+def segmented_documents(spark, d):
+    return segments.segmented(marked_documents(spark, d)).select("note", "ordinal", "boundary", "title", "words", F.sha2("body", 256).alias("body"))
+
+
+def segment_losses(spark, d):
+    """Lines that no segment of a document holds, counted: none."""
+    notes = marked_documents(spark, d)
+    cut = segments.segmented(notes).select("note", F.concat_ws("\n", "title", "path").alias("title"), "body")
+    return segments.lost_lines(notes, cut).agg(F.count(F.lit(1)).alias("lost"))
+
+
 def queries() -> dict:
     return {
+        "segment_plans": segment_plans,
+        "segmented_documents": segmented_documents,
+        "segment_losses": segment_losses,
         "text_blocks": lambda k, d: segments.blocks(texts(k, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum("words").alias("words"), F.sum("lines").alias("lines")),
         "text_sections": lambda k, d: segments.sections(texts(k, d)).select("note", "section", "title", "words", F.length("body").alias("chars")),
         "text_parts": lambda k, d: segments.packed(segments.blocks(texts(k, d))),
@@ -34,6 +61,12 @@ def queries() -> dict:
 
 _T = "t as (select p_partkey as note, p_partkey % 5 = 0 as bare, p_size * 12 as a, p_size * 6 as b from part)"
 SQL = {
+    "segment_losses": "select 0 as lost",
+    "segment_plans": r"""with l as (select doc_id as note, i - 1 as k, ls[i] as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), lateral (select unnest(range(1, len(ls) + 1)) as i)),
+        m as (select note, k, unnest(list_filter([case when note % 4 = 0 and k % 3 = 0 then repeat('#', cast(k % 2 + 1 as int)) || ' ' || substring(line, 1, 20) || ' ' || k when note % 4 = 1 and k % 5 = 2 then '---' end, line], lambda x: x is not null and trim(x) <> '')) as line from l),
+        f as (select *, len(regexp_extract(line, '^(#{1,6})\s', 1)) as level, regexp_matches(line, '^\s{0,3}(?:-(?:\s*-){2,}|\*(?:\s*\*){2,}|_(?:\s*_){2,})\s*$') as rule, len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) as words from m),
+        h as (select note, level, count(*) as n from f where level > 0 group by all), c as (select note, coalesce(min(level) filter (n > 1), max(level)) as cut from h group by note)
+        select f.note, case when max(cut) is not null then 'heading' when bool_or(rule) then 'rule' when sum(words) < 120 then 'whole' else 'size' end as plan, max(cut) as cut, cast(sum(words) as bigint) as words from f left join c on c.note = f.note group by f.note""",
     "text_blocks": f"""with {_T}, x as (select 'heading' as kind, 3 as blocks, 6 as words, 3 as lines from t where not bare union all select 'list', 1, 3, 1 from t where not bare union all select 'code', 1, 7, 5 from t where not bare
           union all select 'rule', 1, 1, 1 from t union all select 'para', case when bare then 3 else 4 end, a + b + case when bare then 1 else 5 end, case when bare then 3 else 4 end from t)
         select kind, cast(sum(blocks) as bigint) as blocks, cast(sum(words) as bigint) as words, cast(sum(lines) as bigint) as lines from x group by kind""",
