@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 
 KEYWORD_FLOOR, ANSWERABLE_FLOOR = 0.34, 0.19  # fixed values: the least score and the least share of the whole question
-DIGITS = 9  # scores are compared to so many places, so that the order of sums doesn't matter
+DIGITS = 9  # scores are compared to so many places
+UNIT = 1e13  # weights are added in so many parts of one
+MOST_BROADCAST = 200_000  # words of all questions that may be broadcast
 
 
 def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,18 +38,23 @@ def question_weights(questions: DataFrame, frequency: DataFrame, passages: int)
 
 
 def search(docs: DataFrame, questions: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
-    """(question, rank, key, score): the k best passages of each question (question, text)."""
+    """(question, rank, key, score): the k best passages of each question (question, text).
+
+    The words of a passage meet the questions' weights and are added up by passage and question, before anything
+    is shuffled where the questions' words are few enough to be broadcast. Weights are added as whole numbers, so
+    the order of a sum doesn't matter.
+    """
     sets = term_sets(docs, key, text)
     frequency = document_frequency(sets)
     asked = questions.select("question", T.terms(F.col("text")).alias("terms"))
     weights = question_weights(asked, frequency, docs.count())
-    maps = weights.groupBy("question").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"), F.first("known").alias("known"), F.first("whole").alias("whole"))
+    posted = weights.select("question", "term", "known", "whole", "seeks", F.round(F.col("weight") * UNIT).cast("long").alias("weight"))
+    few = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0] <= MOST_BROADCAST
     words = sets.select(key, F.explode("terms").alias("term"))
-    pairs = words.join(weights.filter("seeks").select("question", "term"), "term").select(key, "question").distinct()
-    both = pairs.join(sets, key).join(maps, "question")
-    matched = F.aggregate(F.array_sort(F.array_intersect("terms", F.map_keys("weights"))), F.lit(0.0), lambda a, t: a + F.element_at("weights", t))
-    both = both.withColumn("score", F.round(matched / F.col("known"), DIGITS)).withColumn("answerable", F.col("known") / F.col("whole"))
-    admitted = both.filter((F.col("score") >= KEYWORD_FLOOR) & (F.col("score") * F.col("answerable") >= ANSWERABLE_FLOOR))
+    pairs = words.join(F.broadcast(posted) if few else posted, "term").groupBy(key, "question")
+    pairs = pairs.agg(F.sum("weight").alias("matched"), F.bool_or("seeks").alias("seeks"), F.max("known").alias("known"), F.max("whole").alias("whole")).filter("seeks")
+    scored = pairs.withColumn("score", F.round(F.col("matched") / UNIT / F.col("known"), DIGITS)).withColumn("answerable", F.col("known") / F.col("whole"))
+    admitted = scored.filter((F.col("score") >= KEYWORD_FLOOR) & (F.col("score") * F.col("answerable") >= ANSWERABLE_FLOOR))
     rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), key))
     return admitted.withColumn("rank", rank).filter(F.col("rank") <= k).select("question", "rank", key, "score")
 
