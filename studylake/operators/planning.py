@@ -24,11 +24,12 @@ def project_load(steps: DataFrame) -> DataFrame:
     return steps.groupBy("project").agg(F.sum(F.when(open_, F.col("minutes")).otherwise(0)).alias("remaining"), (F.count_if("done") / F.count(F.lit(1))).alias("progress"), F.min(F.when(open_, F.struct(F.col("scheduled").isNull().alias("later"), "scheduled", "step", "minutes"))).alias("next"))
 
 
-def next_actions(projects: DataFrame, steps: DataFrame, today: str, limit: int = 10) -> DataFrame:
-    """A top-k report: the next step of each active project, the most urgent first."""
+def next_actions(projects: DataFrame, steps: DataFrame, today: str, limit: int | None = 10) -> DataFrame:
+    """The next step of each active project; with a limit a top-k report, the most urgent first."""
     rows = projects.filter("status = 'active'").join(project_load(steps).filter("next is not null"), "project")
     rows = rows.withColumn("urgency", urgency(F.col("deadline"), F.col("remaining"), F.col("progress"), F.to_date(F.lit(today))))
-    return rows.select("project", "deadline", F.col("next.step").alias("step"), F.col("next.minutes").alias("minutes"), F.col("next.scheduled").alias("scheduled"), "urgency").orderBy(F.desc("urgency"), "project").limit(limit)
+    rows = rows.select("project", "deadline", F.col("next.step").alias("step"), F.col("next.minutes").alias("minutes"), F.col("next.scheduled").alias("scheduled"), "urgency")
+    return rows if limit is None else rows.orderBy(F.desc("urgency"), "project").limit(limit)
 
 
 def upcoming(projects: DataFrame, steps: DataFrame, today: str, days: int = 14) -> DataFrame:

@@ -24,12 +24,13 @@ def incidents(log: DataFrame) -> DataFrame:
     return found.filter("resolved_at is null").unionByName(done)
 
 
-def overdue_steps(projects: DataFrame, steps: DataFrame, today: str, limit: int = 12) -> DataFrame:
-    """A top-k report: undone steps of live projects whose day is past, the oldest first."""
+def overdue_steps(projects: DataFrame, steps: DataFrame, today: str, limit: int | None = 12) -> DataFrame:
+    """Undone steps of live projects whose day is past; with a limit a top-k report, the oldest first."""
     now = F.to_date(F.lit(today))
     late = steps.filter(~F.col("done") & (F.col("scheduled") < now)).join(projects.filter("status <> 'done'").select("project"), "project")
     days = F.date_diff(now, F.col("scheduled"))
-    return late.select("project", "step", "minutes", "scheduled", days.alias("days")).orderBy(F.desc("days"), "project", "step", "minutes").limit(limit)
+    rows = late.select("project", "step", "minutes", "scheduled", days.alias("days"))
+    return rows if limit is None else rows.orderBy(F.desc("days"), "project", "step", "minutes").limit(limit)
 
 
 def closed(steps: DataFrame, reviews: DataFrame, steps_until: str, reviews_until: str, days: int = 7) -> DataFrame:

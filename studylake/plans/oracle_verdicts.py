@@ -33,9 +33,9 @@ SQL = {
     "intentions": """with x as (select c_custkey as note, c_custkey % 2 = 0 as c, c_custkey % 3 = 0 as b, case when c_custkey % 5 = 0 then ' at the park' else '' end as p, c_custkey % 7 = 0 as a from customer)
         select note, case when c and b then 'When I wake, I will run' || p || '.' when a and b then 'Right after coffee, I will run' || p || '.' when c then 'When I wake — this is the cue.' when a and not b then 'Right after coffee — this is the cue.' else '' end as line from x""",
     "weekly_panels": f"""with {STEPS}, {PROJECTS}, {NOTES}, live as (select * from projects where status <> 'done'), todo as (select distinct project from steps where not done),
-        c as (select 'next' as panel, least(10, count(*)) as rows from projects join todo using (project) where status = 'active'
+        c as (select 'next' as panel, count(*) as rows from projects join todo using (project) where status = 'active'
           union all select 'upcoming', (select count(*) from live where deadline <= date '1998-08-16') + (select count(*) from steps join live using (project) where not done and scheduled between date '1998-08-02' and date '1998-08-16')
-          union all select 'slipped', least(12, count(*)) from steps join live using (project) where not done and scheduled < date '1998-08-02'
-          union all select 'reviews', count(*) from notes where bucket = 'resource' and created + 90 <= date '2024-01-31' union all select 'inbox', least(25, count(*)) from notes where bucket = 'inbox' union all select 'nothing', 0)
+          union all select 'slipped', count(*) from steps join live using (project) where not done and scheduled < date '1998-08-02'
+          union all select 'reviews', count(*) from notes where bucket = 'resource' and created + 90 <= date '2024-01-31' union all select 'inbox', count(*) from notes where bucket = 'inbox' union all select 'nothing', 0)
         select panel, rows, rows = 0 as empty from c""",
 }

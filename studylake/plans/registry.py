@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, planning, retrieval, statistics, study, vectors
 from ..sources import views
-from . import actions, captured, cuts, drafted, guided, imported, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, quotations, repairs, sessions, timelines, verdicts
+from . import actions, captured, cuts, doings, drafted, guided, imported, library, names, oracle_actions, oracle_library, oracle_names, oracle_sessions, oracle_verdicts, quotations, repairs, sessions, timelines, verdicts
 from .oracle import SQL
 
 EVENTS_TODAY, ORDERS_TODAY = "2024-01-31", "1998-08-02"
@@ -121,6 +121,7 @@ def queries() -> dict:
         **names.queries(),
         **quotations.queries(),
         **captured.queries(),
+        **doings.queries(),
         **timelines.queries(),
         **drafted.queries(),
         **imported.queries(),
@@ -130,4 +131,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL | quotations.SQL | captured.SQL | timelines.SQL | drafted.SQL | imported.SQL | guided.SQL | repairs.SQL | oracle_names.SQL
+    return SQL | oracle_sessions.SQL | oracle_library.SQL | oracle_actions.SQL | oracle_verdicts.SQL | cuts.SQL | quotations.SQL | captured.SQL | doings.SQL | timelines.SQL | drafted.SQL | imported.SQL | guided.SQL | repairs.SQL | oracle_names.SQL

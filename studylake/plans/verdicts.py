@@ -88,11 +88,11 @@ def intentions(spark, d):
 def weekly_panels(spark, d):
     n, p, s = views.notes(spark, d), views.projects(spark, d), views.steps(spark, d)
     return judgement.panels({
-        "next": planning.next_actions(p, s, PROJECT_TODAY),
+        "next": planning.next_actions(p, s, PROJECT_TODAY, None),
         "upcoming": planning.upcoming(p, s, PROJECT_TODAY),
-        "slipped": upkeep.overdue_steps(p, s, PROJECT_TODAY),
+        "slipped": upkeep.overdue_steps(p, s, PROJECT_TODAY, None),
         "reviews": vault.reviews_due(note_dates(spark, d), views.cards(spark, d), TODAY),
-        "inbox": vault.newest(n, "inbox", "created"),
+        "inbox": n.filter("bucket = 'inbox'"),
         "nothing": n.filter("note < 0"),
     })
 
