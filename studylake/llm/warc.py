@@ -9,7 +9,7 @@ The files are gzip data whatever their names end in.
 
 Reading: each archive is decompressed member by member in small steps, framed by content length, and the
 digests of block and payload are verified. Spark hands a task the compressed bytes of one archive at a time;
-the writer bounds them by closing an archive after about archive_bytes of payload.
+the writer bounds them by counting the bytes of payload as it goes, whatever the sizes of pages are.
 
 Deduplication: of pages with equal payloads of at least min_bytes the smallest id is the response, others
 are revisits without payload that refer to it.
@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ from .common import BROADCAST_ROWS, join_on, new_path, written
 
 MIN_BYTES = 100
 SEGMENT = 8 << 20  # bytes of a block in one record; a member stays below 16 MiB
-ARCHIVE_BYTES, RECORD_BYTES = 256 << 20, 1000  # payload of an archive, about, and what a record has besides
+ARCHIVE_BYTES, RECORD_BYTES = 256 << 20, 1000  # payload of an archive at most, and what a record has besides
+STEP_BYTES = 8 << 20  # members that a task holds at once
 HOT = 100_000  # pages with one payload from which its key is taken out of the shuffled join
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,7 +77,7 @@ def members(page_id: str | None, url: str | None, payload: bytes, digest: str, r
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segment: int = SEGMENT, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record per row of pages (page_id, url, html). An archive is closed after as many records as have about archive_bytes of payload."""
+    """Writes a record per row of pages (page_id, url, html). A task closes an archive before a page that would take it beyond archive_bytes; only a larger page stands alone."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
@@ -90,16 +92,31 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segm
     copies = copies.unionByName(large.join(F.broadcast(hot), "digest")) if sizes[0] else copies
     copies = written(copies.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "copies")
     rows = join_on(rows, F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["page_id", "digest"])
-    mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
-    records = max(1, int(archive_bytes / (mean + RECORD_BYTES)))
 
-    @F.pandas_udf("array<binary>")
-    def pack(ids: pd.Series, urls: pd.Series, payloads: pd.Series, digests: pd.Series, refers: pd.Series) -> pd.Series:
-        packed = (members(i, u, bytes(p), d, r, segment) for i, u, p, d, r in zip(ids, urls, payloads, digests, refers, strict=True))
-        return pd.Series([[m[:-1] for m in ms] for ms in packed])
-
-    text = F.explode(pack(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))).alias("member")
-    rows.select(text).select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, size = 0, 0  # of this task
+        for batch in batches:
+            out: list[tuple[int, bytes]] = []
+            held = 0
+            for i in range(batch.num_rows):
+                page_id, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
+                if size and size + len(payload) + RECORD_BYTES > archive_bytes:
+                    archive, size = archive + 1, 0
+                size += len(payload) + RECORD_BYTES
+                for m in members(page_id, url, payload, digest, refers_to, segment):
+                    out.append((archive, m[:-1]))
+                    held += len(m)
+                if held > STEP_BYTES:
+                    yield batch_of(out)
+                    out, held = [], 0
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], type=pa.int32()), pa.array([m for _, m in out], type=pa.binary())], names=["archive", "member"])
+
+    given = rows.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))
+    packed = given.mapInArrow(pack, "archive int, member binary").select("archive", F.col("member").cast("string").alias("member"))
+    packed.write.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 def read_members(data: bytes, step: int = 1 << 13) -> Iterator[bytes]:
@@ -195,7 +212,7 @@ ORACLE = """
 with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
      f as (select d, min(page_id) as m from p where n >= 100 group by d)
 select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
-       case when p.page_id <> f.m and p.n >= 100 then 'revisit' else 'response' end as record_type,
-       case when p.page_id <> f.m and p.n >= 100 then f.m end as refers_to
+       case when p.page_id is distinct from f.m and f.m is not null and p.n >= 100 then 'revisit' else 'response' end as record_type,
+       case when p.page_id is distinct from f.m and p.n >= 100 then f.m end as refers_to
 from p left join f on p.d = f.d
 """

@@ -346,12 +346,33 @@ def test_archives_are_closed_after_a_bounded_size(spark, folder, tmp_path):
     d = folder(pages=pages)
     frame = spark.read.parquet(f"{d}/pages.parquet")
     warc.write_archives(frame, str(tmp_path / "w"), archive_bytes=20_000)
-    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    files = list((tmp_path / "w").rglob("part*"))
     assert len(files) > 8
     got = {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect()}
     assert got == {i: h.encode() for i, _, h in pages}
 
 
+def test_a_run_of_large_pages_in_one_task_is_dealt_over_archives(spark, tmp_path):
+    from studylake.llm import warc
+
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(chr(c) for c in rng.integers(33, 0x300, n))
+    pages = [(i, None, word(60)) for i in range(1000)] + [(1000 + i, None, word(300_000)) for i in range(20)] + [(5000, None, word(900_000)), (5001, None, "")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"), archive_bytes=1 << 20)
+    sizes = [sum(len(h.encode()) + warc.RECORD_BYTES for h in [p for _, p in held]) for held in grouped(spark, tmp_path)]
+    assert len(sizes) >= 12 and sorted(sizes)[-2] <= 1 << 20  # the largest page stands alone
+    got = {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect()}
+    assert got == {i: h.encode() for i, _, h in pages}
+
+
+def grouped(spark, tmp_path):
+    """The pages of each archive."""
+    from studylake.llm import warc
+
+    return [[(p["page_id"], p["payload"].decode()) for p in warc.read_pages(f.read_bytes())] for f in (tmp_path / "w").rglob("part*")]
+
+
 def test_extra_columns_with_names_used_within(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, y int, labelled bigint, known string, body string, x string, score string, ids string, words string"
     rows = [(i, f"some words of document {i} that say little " * (i + 1), "en", "web", 1, 1, 2, "k", "b", "x", "s", "i", "w") for i in range(6)]

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import pandas as pd
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -73,6 +74,9 @@ def test_secrets(spark, odd):
 def test_warc(spark, odd):
     rows = entry.queries()["op4_warc"](spark, odd).toPandas()
     got = sorted((r.page_id if r.page_id == r.page_id else -1, r.payload_bytes, r.record_type, r.refers_to if r.refers_to == r.refers_to else None) for r in rows.itertuples())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{odd}/pages.parquet/*.parquet'")
+    assert got == sorted((-1 if r[0] is None else r[0], r[1], r[3], r[4]) for r in con.execute(warc.ORACLE).fetchall())
     assert got == [(-1, 200, "revisit", 2), (1, 0, "response", None), (2, 200, "response", None), (3, 200, "revisit", 2), (3, 200, "revisit", 2), (4, 120, "response", None), (5, 99, "response", None), (6, 99, "response", None)]
 
 
