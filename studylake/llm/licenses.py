@@ -90,19 +90,29 @@ def _base_places(phrase: list[str], df: dict[str, int]) -> Column:
     return F.filter(starts, lambda s: F.when(s >= 0, F.slice("words", s + 1, F.lit(n)) == F.array(*map(F.lit, phrase))).otherwise(False))
 
 
+def _packed(t: Column, at: Column) -> Column:
+    """A vote as one long, which Spark tells apart by hashing: of structs it compares every pair."""
+    return F.shiftleft(t.cast("long"), 34) + at + F.lit(1 << 32)
+
+
+def _unpacked(vote: Column) -> tuple[Column, Column]:
+    return F.shiftright(vote, 34).cast("int"), (vote.bitwiseAND(F.lit((1 << 34) - 1)) - F.lit(1 << 32)).cast("int")
+
+
 def _judged(index: dict[str, list[tuple[int, int]]]) -> Column:
     """(template, covered positions, whether a key phrase stands there) for each beginning that has votes."""
     kinds = templates()
     posts = F.create_map(*(x for w, places in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places)))))
-    votes = F.flatten(F.transform("hits", lambda i: F.transform(F.coalesce(F.try_element_at(posts, F.get("words", i)), F.array().cast("array<struct<t:int,p:int>>")), lambda e: F.struct(e["t"].alias("t"), (i - e["p"]).alias("at")))))
+    votes = F.flatten(F.transform("hits", lambda i: F.transform(F.coalesce(F.try_element_at(posts, F.get("words", i)), F.array().cast("array<struct<t:int,p:int>>")), lambda e: _packed(e["t"], i - e["p"]))))
     texts = F.array(*(F.array(*map(F.lit, words)) for _, words, _ in kinds))
     keys = F.array(*(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in spans)) for _, _, spans in kinds))
 
-    def judged(c: Column) -> Column:
-        words = F.get(texts, c["t"])
-        covered = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get("words", c["at"] + p) == F.get(words, p))
-        stands = F.exists(F.get(keys, c["t"]), lambda k: F.when(c["at"] + k["a"] >= 0, F.slice("words", c["at"] + k["a"] + 1, k["n"]) == F.slice(words, k["a"] + 1, k["n"])).otherwise(False))
-        return F.struct(c["t"].alias("t"), covered.alias("covered"), stands.alias("key"))
+    def judged(vote: Column) -> Column:
+        t, at = _unpacked(vote)
+        words = F.get(texts, t)
+        covered = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get("words", at + p) == F.get(words, p))
+        stands = F.exists(F.get(keys, t), lambda k: F.when(at + k["a"] >= 0, F.slice("words", at + k["a"] + 1, k["n"]) == F.slice(words, k["a"] + 1, k["n"])).otherwise(False))
+        return F.struct(t.alias("t"), covered.alias("covered"), stands.alias("key"))
 
     return F.transform(F.array_distinct(votes), judged)
 

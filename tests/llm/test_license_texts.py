@@ -71,3 +71,20 @@ def test_whole_changed_and_cut_texts(spark):
 def test_only_ascii_letters_are_lowered(spark):
     got = check(spark, ["UNDER the MIT license", "under the KIT license ÉTÉ"])
     assert got[0]["base_labels"] == "mit" and got[1]["base_labels"] == ""
+
+
+def test_a_long_text_of_one_posted_word(spark):
+    """The votes of a word repeated all over are told apart in time that grows with the text."""
+    import time
+
+    from studylake.llm import licenses
+
+    word = licenses.templates()[0][1][5]
+    texts = [(n, f"{word} " * n) for n in (4000, 32_000)]
+    took = []
+    for n, text in texts:
+        began = time.time()
+        row = licenses.scan(spark.createDataFrame([(n, text)], "doc_id bigint, text string")).collect()[0]
+        took.append(time.time() - began)
+        assert row.n_words == n and row.n_base == 0
+    assert took[1] < 8 * took[0] + 20
