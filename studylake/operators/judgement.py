@@ -20,6 +20,7 @@ SOUND, PARTIAL, RECALLED, HALF_RECALLED = 0.5, 0.2, 0.7, 0.4
 AUTO_LINK, LEAST_LINK = 0.62, 0.35
 # fixed values: bounds of a glossary line
 TERM_CHARS, TERM_WORDS, DEFINITION_WORDS, GLOSSARY_SHARE = 60, 8, 60, 0.75
+WRAPPED_WORDS = 4  # fixed value: words of an unindented line that goes on with the one above
 ALERT_AT, LOOKBACK = 2, 12
 
 
@@ -82,6 +83,41 @@ def glossary_entry(line: Column) -> Column:
     return dates.let(found, lambda p: F.when(p.isNotNull(), entry(p)))
 
 
+def glossary(notes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, kind, term, definition, explicit) of the lines of notes that aren't blank: entry, again (of a term that an earlier line explains), wrapped, heading or other.
+
+    A line that is indented, or begins with a small letter and has a few words, goes on with the entry above it,
+    as long as nothing but such lines stands between; its words are added to that definition.
+    """
+    rows = notes.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("at", "line"))
+    line = F.col("line")
+    rows = rows.withColumn("found", glossary_entry(line))
+    heading, blank = line.rlike(r"^\s*#{1,6}\s+\S"), F.regexp_replace(line, r"\s+", "") == ""
+    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+    goes_on = line.rlike(r"^[ \t]") | (bare.rlike(r"^\p{Ll}") & (F.size(F.split(bare, r"\s+")) >= WRAPPED_WORDS))
+    shape = F.when(blank, "blank").when(heading, "heading").when(F.col("found").isNotNull(), "entry").when(goes_on, "on").otherwise("other")
+    rows = rows.withColumn("shape", shape)
+    nth = F.row_number().over(W.partitionBy(key, "shape", F.lower("found.term")).orderBy("at"))
+    rows = rows.withColumn("shape", F.when((F.col("shape") == "entry") & (nth > 1), "again").otherwise(F.col("shape")))
+    anchor = F.last(F.when(F.col("shape") != "on", F.struct("shape", "at")), ignorenulls=True).over(W.partitionBy(key).orderBy("at"))
+    rows = rows.withColumn("anchor", anchor).filter("shape <> 'blank'")
+    wrapped = (F.col("shape") == "on") & F.coalesce(F.col("anchor.shape") == "entry", F.lit(False))
+    kind = F.when(wrapped, "wrapped").when(F.col("shape") == "on", "other").otherwise(F.col("shape"))
+    of = F.when(F.col("shape").isin("entry") | wrapped, F.col("anchor.at")).otherwise(F.col("at"))
+    rows = rows.withColumns({"kind": kind, "of": of})
+    more = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "wrapped", F.struct("at", bare.alias("t"))))), lambda x: x["t"]), " ")
+    told = rows.groupBy(key, "of").agg(more.alias("more"))
+    rows = rows.join(told, [key, "of"])
+    definition = F.when(F.col("kind") == "entry", F.trim(F.concat_ws(" ", "found.definition", "more"))).when(F.col("kind") == "again", F.col("found.definition"))
+    return rows.select(key, "at", "kind", F.when(F.col("kind").isin("entry", "again"), F.col("found.term")).alias("term"), definition.alias("definition"), F.when(F.col("kind").isin("entry", "again"), F.col("found.explicit")).alias("explicit"))
+
+
+def glossary_shares(lines: DataFrame, key: str) -> DataFrame:
+    """Of each note's lines (as `glossary` gives them) how many are entries, and whether that makes it a glossary; wrapped lines and headings don't count."""
+    counts = lines.filter("kind not in ('wrapped', 'heading')").groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("kind").isin("entry", "again")).alias("entries"))
+    return counts.select(key, "lines", "entries", F.round(F.col("entries") / F.col("lines"), 3).alias("share"), (F.col("entries") / F.col("lines") >= GLOSSARY_SHARE).alias("glossary"))
+
+
 def glossaries(notes: DataFrame, key: str, text: str) -> DataFrame:
     """Notes whose lines are mostly glossary entries: their entries, lines and share (headings and empty lines aside)."""
     lines = notes.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).filter("trim(line) <> ''").filter(~F.col("line").rlike(r"^\s*#{1,6}\s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,6 +59,40 @@ def search(docs: DataFrame, questions: DataFrame, key: str, text: str, k: int =
     return admitted.withColumn("rank", rank).filter(F.col("rank") <= k).select("question", "rank", key, "score")
 
 
+def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
+    """(question, kind, text, expect) of a set of questions in JSON: an object with a list of questions."""
+    schema = "questions array<struct<id: string, kind: string, question: string, expect: array<string>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("questions").alias("q"))
+    return rows.select(F.col("q.id").alias("question"), F.coalesce("q.kind", F.lit("answerable")).alias("kind"), F.col("q.question").alias("text"), F.coalesce("q.expect", F.array().cast("array<string>")).alias("expect"))
+
+
+def judged(questions: DataFrame, ranked: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(question, kind, rank, returned, verdict): questions (question, kind, expect) against what was found for them (ranked: question, rank, note).
+
+    rank is that of the first expected note. A question that expects a note which isn't indexed (indexed: note) is
+    broken, and says nothing about the search; one that can't be answered is right where nothing was found.
+    """
+    wanted = questions.select("question", F.explode("expect").alias("note"))
+    broken = wanted.join(indexed.select("note").distinct(), "note", "left_anti").select("question", F.lit(True).alias("broken")).distinct()
+    first = ranked.join(wanted.distinct(), ["question", "note"]).groupBy("question").agg(F.min("rank").alias("rank"))
+    returned = ranked.groupBy("question").agg(F.count(F.lit(1)).alias("returned"))
+    rows = questions.select("question", "kind").join(broken, "question", "left").join(first, "question", "left").join(returned, "question", "left")
+    some = F.coalesce("returned", F.lit(0))
+    verdict = F.when(F.col("broken"), "broken").when(F.col("kind") == "unanswerable", F.when(some == 0, "restrained").otherwise("false positive")).when(F.col("rank").isNull(), "missed").otherwise("found")
+    return rows.select("question", "kind", "rank", some.alias("returned"), verdict.alias("verdict"))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """One row about judged questions: hit shares and mean reciprocal rank of those that can be answered, and how often the search was restrained where it had to be."""
+    fair = F.col("verdict") != "broken"
+    asked = fair & (F.col("kind") != "unanswerable")
+    share = lambda hit, of: F.round(F.count_if(hit & of) / F.nullif(F.count_if(of), F.lit(0)), 4)
+    none = fair & (F.col("kind") == "unanswerable")
+    hits = [share(F.coalesce(F.col("rank") <= n, F.lit(False)), asked).alias(f"hit_{n}") for n in (1, 3, 5)]
+    mrr = F.round(F.avg(F.when(asked, F.coalesce(1 / F.col("rank"), F.lit(0.0)))), 4).alias("mrr")
+    return rows.agg(F.count_if(asked).alias("answerable"), mrr, *hits, F.count_if(none).alias("unanswerable"), share(F.col("verdict") == "restrained", none).alias("restraint"), F.count_if(~fair).alias("broken"))
+
+
 def evaluation(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """Hit shares and mean reciprocal rank of ranked (query, rank, group) against expected (query, group)."""
     first = ranked.join(expected, ["query", "group"]).groupBy("query").agg(F.min("rank").alias("first"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import passages, quotes
+from ..operators import judgement, passages, quotes, retrieval
 from ..sources import views
 from .actions import chunks_of
+from .oracle import SQL as FIRST
 from .oracle_actions import NORM
 
 TARGETS = 1_000_000_000  # benchmark items as notes beside the documents
@@ -44,8 +45,31 @@ def title_mentions(spark, d):
     return quotes.mentions(views.table(spark, d, "documents").select(F.col("doc_id").alias("note"), "text"), items)
 
 
+def search_quality(spark, d):
+    """Benchmark items as questions that expect the documents quoting them; every fourth is read backwards, so it has no answer, and every eleventh expects what isn't there."""
+    items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
+    odd = F.col("question") % 4 == 0
+    held = benchmark_quotes(spark, d).groupBy(F.col("probe").alias("question")).agg(F.collect_set("place").alias("places"))
+    asked = items.join(held, "question", "left")
+    expect = F.when(odd, F.array().cast("array<bigint>")).when((F.col("question") % 11 == 0) | F.col("places").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.col("places"))
+    questions = asked.select("question", F.when(odd, "unanswerable").otherwise("answerable").alias("kind"), expect.alias("expect"), F.when(odd, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    docs = views.table(spark, d, "documents")
+    found = retrieval.search(docs, questions.select("question", "text"), "doc_id", "text", 10).select("question", "rank", F.col("doc_id").alias("note"))
+    return retrieval.report(retrieval.judged(questions, found, docs.select(F.col("doc_id").alias("note"))))
+
+
+def glossary_documents(spark, d):
+    """Documents as glossaries: of their lines some become entries by their first words, others are indented."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("note"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    kind = (F.col("note") + F.col("at")) % 4
+    first = F.regexp_extract("line", "[A-Za-z]+", 0)
+    line = F.when(kind == 0, F.concat(first, F.lit(": "), F.substring("line", 1, 80))).when(kind == 1, F.concat(F.lit("  "), F.substring("line", 5, 30))).when(kind == 2, F.concat(F.lower(first), F.lit(" and some more words"))).otherwise(F.col("line"))
+    rows = docs.select("note", "at", line.alias("line")).groupBy("note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return judgement.glossary_shares(judgement.glossary(rows, "note", "text"), "note")
+
+
 def queries() -> dict:
-    return {"card_places": card_places, "passage_coverage": passage_coverage, "benchmark_quotes": benchmark_quotes, "title_mentions": title_mentions}
+    return {"search_quality": search_quality, "glossary_documents": glossary_documents, "card_places": card_places, "passage_coverage": passage_coverage, "benchmark_quotes": benchmark_quotes, "title_mentions": title_mentions}
 
 
 _PLACED = f"""p as (select conv_id as note, turn, {NORM.format("text")} as said from conversations),
@@ -59,7 +83,26 @@ _PLACED = f"""p as (select conv_id as note, turn, {NORM.format("text")} as said
   first_ as (select note, card, turn as place from hits qualify row_number() over (partition by note, card order by i, turn) = 1),
   placed as (select c.note, c.card, place from c left join first_ using (note, card))"""
 
+_SEARCH = FIRST["search_topk"].replace("from benchmark)", "from qs)").replace("<= 6", "<= 10")
+_ENTRY = r"'^\s*(?:[-*+]\s+)?(?:\*\*)?([^:\t=–—]{1,60}?)(?:\*\*)?\s*(::|\t+|:|=|—|–|\s-\s)\s*(\S.*)$'"
 SQL = {
+    "search_quality": f"""with b as (select item_id, text, {NORM.format("text")} as t from benchmark), d as (select doc_id, {NORM.format("text")} as said from documents),
+        h as (select item_id, list(distinct doc_id) as places from b join d on contains(said, t) where length(t) >= 6 group by item_id),
+        qs as (select item_id, case when item_id % 4 = 0 then reverse(text) else text end as text from benchmark), r as ({_SEARCH}),
+        x as (select b.item_id, b.item_id % 4 = 0 as odd, b.item_id % 4 <> 0 and (b.item_id % 11 = 0 or places is null) as broken, places from b left join h using (item_id)),
+        y as (select x.*, (select min(rank) from r where r.question = x.item_id and list_contains(places, r.doc_id)) as rank, (select count(*) from r where r.question = x.item_id) as returned from x)
+        select count(*) filter (not odd and not broken) as answerable, round(avg(coalesce(1.0 / rank, 0)) filter (not odd and not broken), 4) as mrr, round(avg((coalesce(rank, 99) <= 1)::int) filter (not odd and not broken), 4) as hit_1,
+          round(avg((coalesce(rank, 99) <= 3)::int) filter (not odd and not broken), 4) as hit_3, round(avg((coalesce(rank, 99) <= 5)::int) filter (not odd and not broken), 4) as hit_5,
+          count(*) filter (odd) as unanswerable, round(avg((returned = 0)::int) filter (odd), 4) as restraint, count(*) filter (broken) as broken from y""",
+    "glossary_documents": rf"""with l as (select doc_id as note, i - 1 as k, ls[i] as line, regexp_extract(ls[i], '[A-Za-z]+') as w from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), lateral (select unnest(range(1, len(ls) + 1)) as i)),
+        m as (select note, k, case (note + k) % 4 when 0 then w || ': ' || substring(line, 1, 80) when 1 then '  ' || substring(line, 5, 30) when 2 then lower(w) || ' and some more words' else line end as line from l),
+        e as (select *, trim(line) = '' as blank, regexp_matches(line, '^\s*#{{1,6}}\s+\S') as head, trim(regexp_extract(line, {_ENTRY}, 1)) as term, regexp_extract(line, {_ENTRY}, 2) as sep, trim(regexp_extract(line, {_ENTRY}, 3)) as def from m),
+        f as (select *, not blank and not head and regexp_matches(line, {_ENTRY}) and not (sep = ':' and starts_with(def, '//')) and length(term) between 1 and 60 and len(string_split_regex(term, '\s+')) <= 8 and regexp_matches(term, '^[A-Za-z0-9_(“"'']') and not regexp_matches(term, '\?$|^[\d\s.,/]+$|(?i)https?|www\.')
+          and length(def) >= 2 and len(string_split_regex(def, '\s+')) <= 60 and not (sep = ':' and regexp_matches(def, '(?i)^\d{{1,2}}(:\d{{2}})?\s*(am|pm)?$')) as entry from e),
+        g as (select *, not blank and not head and not entry and (regexp_matches(line, '^[ \t]') or (regexp_matches(trim(line), '^\p{{Ll}}') and len(string_split_regex(trim(line), '\s+')) >= 4)) as goes, entry and row_number() over (partition by note, entry, lower(term) order by k) > 1 as again from f),
+        h as (select *, last_value(case when not goes then case when entry and not again then 1 else 0 end end ignore nulls) over (partition by note order by k) as open from g),
+        c as (select note, count(*) as lines, count(*) filter (entry) as entries from h where not blank and not head and not (goes and coalesce(open, 0) = 1) group by note)
+        select note, lines, entries, round(entries / lines, 3) as share, entries / lines >= 0.75 as glossary from c""",
     "card_places": f"with {_PLACED} select note, card, place from placed",
     "passage_coverage": f"""with {_PLACED}, x as (select note, place, count(*) as cards from placed group by all), u as (select note, cards as unplaced from x where place is null)
         select p.note, count(*) as passages, count(x.cards) as covered, round(count(x.cards) / count(*), 3) as share, cast(coalesce(sum(x.cards), 0) as bigint) as cards, coalesce(max(u.unplaced), 0) as unplaced

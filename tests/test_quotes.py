@@ -77,3 +77,36 @@ def test_titles_as_one_alternation(spark):
         first[slugs[t]] = min(n, first.get(slugs[t], n))
     want = sorted({(i, first[slugs[m[1]]]) for i, t in notes for m in pattern.finditer(t)})
     assert mentioned(spark, notes, [(n, t) for t, n in titles.items()]) == want and len(want) > 200
+
+
+def test_definitions_that_wrap(spark):
+    from studylake.operators import judgement
+
+    text = "# Terms\nheat: energy in transit\n  between two bodies\nand from one place to another\n\nand this line stands alone here\nwork: force times way\nshort one\nHeat: again\n  lost\ncold = less of it"
+    rows = judgement.glossary(spark.createDataFrame([(1, text), (2, None)], "note int, text string"), "note", "text").orderBy("at").collect()
+    assert [(r["kind"], r["term"], r["definition"]) for r in rows] == [
+        ("heading", None, None),
+        ("entry", "heat", "energy in transit between two bodies and from one place to another"),
+        ("wrapped", None, None),
+        ("wrapped", None, None),
+        ("other", None, None),
+        ("entry", "work", "force times way"),
+        ("other", None, None),
+        ("again", "Heat", "again"),
+        ("other", None, None),
+        ("entry", "cold", "less of it"),
+    ]
+
+
+def test_an_evaluation_set(spark, tmp_path):
+    import json
+
+    from studylake.operators import retrieval
+
+    questions = [{"id": "a", "question": "x", "expect": ["n1", "n2"]}, {"id": "b", "kind": "unanswerable", "question": "y"}, {"id": "c", "question": "z", "expect": ["gone"]}, {"id": "d", "kind": "unanswerable", "question": "w"}, {"id": "e", "question": "v", "expect": ["n3"]}]
+    (tmp_path / "set.json").write_text(json.dumps({"name": "s", "questions": questions}, indent=1))
+    asked = retrieval.evaluation_set(spark, str(tmp_path / "set.json"))
+    found = spark.createDataFrame([("a", 1, "n9"), ("a", 2, "n2"), ("b", 1, "n1"), ("c", 1, "n1")], "question string, rank int, note string")
+    rows = retrieval.judged(asked, found, spark.createDataFrame([("n1",), ("n2",), ("n3",)], "note string"))
+    assert {r["question"]: (r["rank"], r["verdict"]) for r in rows.collect()} == {"a": (2, "found"), "b": (None, "false positive"), "c": (None, "broken"), "d": (None, "restrained"), "e": (None, "missed")}
+    assert retrieval.report(rows).first().asDict() == {"answerable": 2, "mrr": 0.25, "hit_1": 0.0, "hit_3": 0.5, "hit_5": 0.5, "unanswerable": 2, "restraint": 0.5, "broken": 1}
