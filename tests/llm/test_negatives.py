@@ -86,3 +86,12 @@ def test_bounds_hold_every_score_and_filter():
 def test_great_components_count_as_the_greatest(spark):
     rows = spark.createDataFrame([(0, [1e30, -1e30], 1)], "vec_id bigint, embedding array<float>, label int")
     assert negatives.integer_rows(rows).select(F.col("v")).first()["v"] == [negatives.MOST, -negatives.MOST]
+
+
+def test_the_sql_is_the_plain_search():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    table = con.execute("select vec_id, embedding, label from embeddings").fetchall()
+    assert sorted(con.execute(negatives.ORACLE).fetchall()) == plain([(i, list(v), label) for i, v, label in table])
