@@ -155,3 +155,34 @@ def session_summary(sessions: DataFrame, captured: DataFrame) -> DataFrame:
     rows = sessions.select("session", minutes.alias("minutes")).join(told, "session", "left")
     notes = F.coalesce(F.nullif("notes", F.lit("")), F.lit("*Nothing was captured in this session.*"))
     return rows.select("session", F.coalesce("minutes", F.lit(0)).alias("minutes"), F.coalesce("terms", F.lit("")).alias("terms"), F.coalesce("undefined", F.lit("")).alias("undefined"), notes.alias("notes"))
+
+
+def edited_cards(cards: DataFrame, edits: DataFrame) -> DataFrame:
+    """cards (card, front, back, hint, source, status) after the edits of each, in the order of ord: (card, error) besides.
+
+    edits: card, ord, front, back, hint, source, status, deleted. A field that is null stays; the last edit of a
+    field counts; a deleted card goes; an unknown status is an error, and changes nothing.
+    """
+    fields = ("front", "back", "hint", "source")
+    known = F.col("status").isNull() | (F.trim("status") == "") | F.col("status").isin("draft", "active", "suspended")
+    wrong = F.max(F.when(~known, F.concat(F.lit("unknown card status "), "status")))
+    last = [F.max_by(F.when(known, F.trim(c)), F.when(known & F.col(c).isNotNull(), F.col("ord"))).alias(f"new_{c}") for c in fields]
+    status = F.max_by("status", F.when(known & (F.trim(F.coalesce("status", F.lit(""))) != ""), F.col("ord"))).alias("new_status")
+    found = edits.groupBy("card").agg(*last, status, F.bool_or(F.coalesce("deleted", F.lit(False))).alias("gone"), wrong.alias("error"))
+    rows = cards.join(found, "card", "left").filter(~F.coalesce("gone", F.lit(False)))
+    return rows.select("card", *(F.coalesce(f"new_{c}", c).alias(c) for c in fields), F.coalesce("new_status", "status").alias("status"), "error")
+
+
+def approved(cards: DataFrame, asked: DataFrame) -> DataFrame:
+    """cards (card, note, status, and more) with drafts made active: asked has the notes, with a list of cards or null for all drafts."""
+    rows = cards.join(asked.select("note", F.col("cards").alias("__cards"), F.lit(True).alias("__asked")), "note", "left")
+    wanted = F.col("__asked") & (F.col("__cards").isNull() | (F.size("__cards") == 0) | F.array_contains("__cards", F.col("card")))
+    status = F.when((F.col("status") == "draft") & F.coalesce(wanted, F.lit(False)), "active").otherwise(F.col("status"))
+    return rows.withColumn("status", status).select(cards.columns)
+
+
+def graduating(notes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """notes (note, status) whose decks have stuck (candidates: note, mastery), waiting to be confirmed: the new status, and the line for the log, null for notes that waited before."""
+    rows = notes.join(candidates.select("note", "mastery"), "note")
+    line = F.concat(F.lit("mastered mastery="), F.bround(F.col("mastery") * 100).cast("int").cast("string"), F.lit("%"))
+    return rows.select("note", F.lit("graduating").alias("status"), F.when(F.col("status") != "graduating", line).alias("log"))

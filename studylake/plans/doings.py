@@ -103,8 +103,29 @@ def option_orders(spark, d):
     return c.select("c_custkey", F.size(one).alias("options"), F.array_contains(one, F.col("c_mktsegment")).alias("holds"), (F.size(other) == F.size(one)).alias("same"))
 
 
+def edited_cards(spark, d):
+    """Turns of conversations as cards, and customers' edits of them."""
+    c = views.table(spark, d, "conversations")
+    cards = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("card"), F.substring("text", 1, 20).alias("front"), F.substring("text", 21, 20).alias("back"), F.lit(None).cast("string").alias("hint"), F.col("role").alias("source"), F.when(F.col("turn") % 2 == 0, "draft").otherwise("active").alias("status"))
+    i = F.col("c_custkey")
+    edits = views.table(spark, d, "customer").select((i % 40 * 100 + i % 3).alias("card"), i.alias("ord"), F.when(i % 2 == 0, F.concat(F.lit(" "), "c_name")).alias("front"), F.when(i % 5 == 0, F.col("c_mktsegment")).alias("back"), F.lit(None).cast("string").alias("hint"), F.lit(None).cast("string").alias("source"), F.when(i % 7 == 0, "suspended").when(i % 7 == 1, "lost").alias("status"), (i % 97 == 0).alias("deleted"))
+    return doings.edited_cards(cards, edits)
+
+
+def approved_cards(spark, d):
+    c = views.cards(spark, d)
+    asked = c.select("note").distinct().filter("note % 3 <> 0").select("note", F.when(F.col("note") % 3 == 1, F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: (i * 14).cast("long"))).alias("cards"))
+    return doings.approved(c.select("card", "note", "status"), asked)
+
+
+def graduating_notes(spark, d):
+    n = views.notes(spark, d).filter("bucket = 'project'").select("note", F.when(F.col("note") % 2 == 0, "graduating").otherwise("active").alias("status"))
+    stuck = views.cards(spark, d).groupBy((F.col("note") * 5 + 1).alias("note")).agg(F.round(F.count_if(F.col("reps") >= 4) / F.count(F.lit(1)), 3).alias("mastery")).filter("mastery > 0.5")
+    return doings.graduating(n, stuck)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (card_study, worked_examples, decks_to_make, filed_terms, filed_notes, committed_rows, week_ahead, habit_advice, session_summaries, option_orders)}
+    return {f.__name__: f for f in (card_study, worked_examples, decks_to_make, filed_terms, filed_notes, committed_rows, week_ahead, habit_advice, session_summaries, option_orders, edited_cards, approved_cards, graduating_notes)}
 
 
 _W = "regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')"
@@ -138,5 +159,12 @@ SQL = {
     "session_summaries": """with s as (select distinct conv_id as session, cast(greatest(0, floor((conv_id % 50 * 77 - 30) / 60)) as int) as minutes from conversations), c as (select conv_id as session, turn, substring(text, 1, 12) as title, turn % 2 = 0 as term, turn % 3 = 0 as defined from conversations where conv_id % 6 > 0),
         t as (select session, string_agg('- [[' || title || ']]' || case when defined then '' else '  — no definition yet' end, chr(10) order by turn) filter (term) as terms, string_agg('- [ ] [[' || title || ']]', chr(10) order by turn) filter (term and not defined) as undefined, string_agg('- [[' || title || ']]', chr(10) order by turn) filter (not term) as notes from c group by session)
         select s.session, minutes, coalesce(terms, '') as terms, coalesce(undefined, '') as undefined, coalesce(notes, '*Nothing was captured in this session.*') as notes from s left join t on t.session = s.session""",
+    "edited_cards": """with c as (select conv_id * 100 + turn as card, substring(text, 1, 20) as front, substring(text, 21, 20) as back, null::varchar as hint, role as source, case when turn % 2 = 0 then 'draft' else 'active' end as status from conversations),
+        e as (select c_custkey % 40 * 100 + c_custkey % 3 as card, c_custkey as i, case when c_custkey % 2 = 0 then c_name end as front, case when c_custkey % 5 = 0 then c_mktsegment end as back, case c_custkey % 7 when 0 then 'suspended' when 1 then 'lost' end as status from customer),
+        g as (select card, max_by(front, i) filter (front is not null and coalesce(status, '') <> 'lost') as f, max_by(back, i) filter (back is not null and coalesce(status, '') <> 'lost') as b, max(status) filter (status = 'suspended') as s, bool_or(i % 97 = 0) as gone, case when bool_or(status = 'lost') then 'unknown card status lost' end as error from e group by card)
+        select c.card, coalesce(f, front) as front, coalesce(b, back) as back, hint, source, coalesce(s, status) as status, error from c left join g on g.card = c.card where not coalesce(gone, false)""",
+    "approved_cards": f"""with {CARDS} select card, note, case when status = 'draft' and (note % 3 = 2 or (note % 3 = 1 and card % 14 = 0 and card <= 2800)) then 'active' else status end as status from cards""",
+    "graduating_notes": f"""with {CARDS}, {NOTES}, m as (select note * 5 + 1 as note, round(count(*) filter (reps >= 4) / count(*), 3) as mastery from cards group by 1)
+        select notes.note, 'graduating' as status, case when notes.note % 2 = 1 then 'mastered mastery=' || cast(round_even(mastery * 100, 0) as int) || '%' end as log from notes join m on m.note = notes.note where mastery > 0.5 and bucket = 'project'""",
     "option_orders": "select c_custkey, 4 as options, true as holds, true as same from customer",
 }

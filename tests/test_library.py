@@ -253,3 +253,13 @@ def test_repeated_answers_within_two_seconds_count_once(spark):
 def test_calendar_text_is_escaped(spark):
     rows = spark.createDataFrame([("a,b;c\\d\r\ne",)], "s string")
     assert rows.select(calendar.escaped(F.col("s"))).first()[0] == "a\\,b\\;c\\\\d\\ne"
+
+
+def test_calendar_lines_are_folded(spark):
+    lines = ["a" * 75, "a" * 76, "é" * 60, "x" * 73 + "📝" * 30, "", "b" * 300]
+    rows = spark.createDataFrame([("\r\n".join(lines),)], "s string")
+    got = rows.select(calendar.folded(F.col("s"))).first()[0]
+    assert got.replace("\r\n ", "") == "\r\n".join(lines)
+    pieces = got.split("\r\n")
+    assert all(len(p.encode()) <= 75 for p in pieces) and pieces[0] == "a" * 75 and pieces[1:3] == ["a" * 74, " aa"]
+    assert [len(p.encode()) for p in pieces if p.startswith(" b")] == [74, 74, 74, 8]
