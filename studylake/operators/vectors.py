@@ -6,8 +6,9 @@ to it. That gives a score which any better one must reach; by the triangle inequ
 far away for its radius holds none, and all others are searched as well. So nothing is lost, whatever the centres
 are worth: they are fitted on a bounded sample.
 
-A task holds one block in memory and lets the queries stream past, so neither vectors nor queries pass through the
-driver, which sees the sample, the centres and a row for each list.
+Neighbouring lists are packed, so that a query is sent to as many packs as the members fill blocks, not to every list.
+A task holds one block of a pack in memory and lets a share of the queries stream past, a few at a time, so neither
+vectors nor queries pass through the driver, which sees the sample, the centres and a row for each list.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.kept import kept
+
 SAMPLE, MOST_LISTS, ROUNDS, FIRST_LISTS = 4096, 512, 5, 2
-BLOCK, CHUNK = 32_768, 64  # members of a block, queries that meet it at once
+BLOCK, CHUNK = 131_072, 64  # members of a block at most, queries that meet it at once
 PLACES, SLACK = 6, 1e-5  # of a score; what rounding may add to a bound
 
 
@@ -64,75 +67,105 @@ def _members(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.select("id", "group", "vector").mapInArrow(deal, "id bigint, group bigint, vec binary, list int, far double")
 
 
-def _visits(queries: DataFrame, centres: np.ndarray, radius: np.ndarray, first: bool) -> DataFrame:
-    """(query, vec, list, floor) for the lists that a query searches: the nearest ones first, then all that may hold better ones than floor."""
+def packs_of(centres: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The pack of each list: lists in the order of their centres' main direction, packed up to so many members; one that is larger stands alone."""
+    direction = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0] if len(centres) else np.zeros(0)
+    packs, at, room = np.zeros(len(centres), dtype=np.int64), 0, 0
+    for i in np.argsort(centres @ direction, kind="stable"):
+        if room and room + sizes[i] > most:
+            at, room = at + 1, 0
+        packs[i], room = at, room + sizes[i]
+    return packs
+
+
+def _visits(queries: DataFrame, centres: np.ndarray, radius: np.ndarray, first: bool, packs: np.ndarray | None = None) -> DataFrame:
+    """(query, vec, list, floor) for the packs of lists that a query searches: those of the nearest ones first, then all others that may hold better ones than floor."""
     width, some = centres.shape[1], np.flatnonzero(radius >= 0)
+    of = np.arange(len(centres)) if packs is None else packs
+    names, place = np.unique(of[some], return_inverse=True)
+    holds = np.zeros((len(some), len(names)), dtype=np.float32)
+    holds[np.arange(len(some)), place] = 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u = units(batch.column("vector"), width)
-            gaps = apart(u @ centres[some].T)
-            near = np.zeros(gaps.shape, dtype=bool)
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :FIRST_LISTS]
-            np.put_along_axis(near, order, True, axis=1)
-            floor = batch.column("floor").to_numpy(zero_copy_only=False)
-            best = 1 - np.maximum(0.0, gaps - radius[some]) ** 2 / 2  # no member has a greater cosine
-            rows, lists = np.nonzero(near if first else ~near & (best + SLACK >= floor[:, None]))
-            raw = pa.array([u[i].tobytes() for i in range(len(u))], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(rows)), raw.take(pa.array(rows)), pa.array(some[lists].astype(np.int32)), pa.array(floor[rows])], names=["query", "vec", "list", "floor"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                yield chosen(whole.slice(at, CHUNK))
+
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        u = units(batch.column("vector"), width)
+        gaps = apart(u @ centres[some].T)
+        near = np.zeros(gaps.shape, dtype=bool)
+        np.put_along_axis(near, np.argsort(gaps, axis=1, kind="stable")[:, :FIRST_LISTS], True, axis=1)
+        floor = batch.column("floor").to_numpy(zero_copy_only=False)
+        best = 1 - np.maximum(0.0, gaps - radius[some]) ** 2 / 2  # no member has a greater cosine
+        begun = near.astype(np.float32) @ holds > 0
+        rows, lists = np.nonzero(begun if first else ~begun & ((best + SLACK >= floor[:, None]).astype(np.float32) @ holds > 0))
+        raw = pa.array([x.tobytes() for x in u], type=pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(rows)), raw.take(pa.array(rows)), pa.array(names[lists].astype(np.int32)), pa.array(floor[rows])], names=["query", "vec", "list", "floor"])
 
     return queries.select("query", "vector", "floor").mapInArrow(choose, "query bigint, vec binary, list int, floor double")
 
 
-def _searched(members: DataFrame, visits: DataFrame, blocks: DataFrame, tasks: int, width: int, k: int, per_group: int) -> DataFrame:
-    """(query, id, group, score): the k best of each block for each query, at most per_group of a group."""
+def _searched(members: DataFrame, visits: DataFrame, blocks: DataFrame, shares: int, tasks: int, width: int, k: int, per_group: int) -> DataFrame:
+    """(query, id, group, score): the k best of each block for each query, at most per_group of a group. Each of so many shares of the queries meets a block in a task of its own."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held = None, [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "block", "kind")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "block", "share", "kind")], axis=1)
             edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
                 if s == e:
                     continue
-                if tuple(keys[s, :2]) != at:
-                    at, parts, held = tuple(keys[s, :2]), [], None
-                if keys[s, 2] == 0:
-                    parts.append(batch.slice(s, e - s))
+                if tuple(keys[s, :3]) != at:
+                    at, parts, held = tuple(keys[s, :3]), [], None
+                if keys[s, 3] == 0:
+                    rows = batch.slice(s, e - s)
+                    parts.append((rows.column("id").to_numpy(), rows.column("group").to_pandas().to_numpy(), np.frombuffer(b"".join(rows.column("vec").to_pylist()), dtype=np.float64).reshape(-1, width)))
                     continue
                 if held is None and parts:
-                    rows = pa.Table.from_batches(parts)
-                    held = rows.column("id").to_numpy(), rows.column("group").to_pandas().to_numpy(), np.frombuffer(b"".join(rows.column("vec").to_pylist()), dtype=np.float64).reshape(-1, width)
+                    held = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
                     parts = []
                 for i in range(s, e, CHUNK) if held is not None else ():
                     yield meet(held, batch.slice(i, min(CHUNK, e - i)))
 
+    def greedy(order: np.ndarray, groups: np.ndarray) -> list[int]:
+        seen: dict = {}
+        taken: list[int] = []
+        for m in order.tolist():
+            of = seen.get(groups[m], 0)
+            if of < per_group:
+                seen[groups[m]] = of + 1
+                taken.append(m)
+                if len(taken) == k:
+                    break
+        return taken
+
     def meet(held: tuple, some: pa.RecordBatch) -> pa.RecordBatch:
         ids, groups, vectors = held
         asked = np.frombuffer(b"".join(some.column("vec").to_pylist()), dtype=np.float64).reshape(-1, width)
         scores = np.round(asked @ vectors.T, PLACES)
         out: list[list] = [[], [], [], []]
-        for j, (query, floor) in enumerate(zip(some.column("query").to_pylist(), some.column("floor").to_pylist(), strict=True)):
-            may = np.flatnonzero(scores[j] >= floor - SLACK)
-            seen: dict = {}
-            n = 0
-            for m in may[np.lexsort((ids[may], -scores[j, may]))].tolist():
-                of = seen.get(groups[m], 0)
-                if of < per_group:
-                    seen[groups[m]] = of + 1
-                    for c, x in zip(out, (query, int(ids[m]), groups[m], scores[j, m]), strict=True):
-                        c.append(x)
-                    n += 1
-                    if n == k:
-                        break
+        for row, query, floor in zip(scores, some.column("query").to_pylist(), some.column("floor").to_pylist(), strict=True):
+            may, taken, most = np.flatnonzero(row >= floor - SLACK), [], 8 * k
+            while len(may):
+                # the greatest scores and all that equal the least of them; more where groups leave too few
+                top = may if len(may) <= most else may[row[may] >= -np.partition(-row[may], most - 1)[most - 1]]
+                taken = greedy(top[np.lexsort((ids[top], -row[top]))], groups)
+                if len(taken) == k or len(top) == len(may):
+                    break
+                most *= 8
+            for m in taken:
+                for c, x in zip(out, (query, int(ids[m]), groups[m], row[m]), strict=True):
+                    c.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(c, type=t, from_pandas=True) for c, t in zip(out, kinds, strict=True)], names=["query", "id", "group", "score"])
 
-    split = members.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = split.select("list", "block", F.lit(0).alias("kind"), "id", "group", F.lit(None).cast("bigint").alias("query"), "vec", F.lit(None).cast("double").alias("floor"))
-    each = visits.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    right = each.select("list", "block", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("group"), "query", "vec", "floor")
-    rows = left.unionByName(right).repartition(tasks, "list", "block").sortWithinPartitions("list", "block", "kind")
+    split = members.join(F.broadcast(blocks), "list").withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "share": F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))})
+    left = split.select(F.col("pack").alias("list"), "block", "share", F.lit(0).alias("kind"), "id", "group", F.lit(None).cast("bigint").alias("query"), "vec", F.lit(None).cast("double").alias("floor"))
+    each = visits.join(F.broadcast(blocks.select(F.col("pack").alias("list"), "blocks").distinct()), "list").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)), "share": F.pmod(F.xxhash64("query"), F.lit(shares)).cast("int")})
+    right = each.select("list", "block", "share", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("group"), "query", "vec", "floor")
+    rows = left.unionByName(right).repartition(tasks, "list", "block", "share").sortWithinPartitions("list", "block", "share", "kind")
     return rows.mapInArrow(best, "query bigint, id bigint, group bigint, score double")
 
 
@@ -149,7 +182,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, per_group: int =
     and null ones, aren't compared; scores below least aren't given.
     """
     spark = vectors.sparkSession
-    width = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+    width, n_queries = queries.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
+    width = width or 0
     vectors, queries = (df.filter(F.size("vector") == width) for df in (vectors, queries))
     none = spark.createDataFrame([], "query bigint, rank int, id bigint, score double")
     if width < 1:
@@ -163,13 +197,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, per_group: int =
     lists = members.groupBy("list").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # a row for each of MOST_LISTS lists
     radius = np.full(len(centres), -1.0)
     radius[[r["list"] for r in lists]] = [r["radius"] for r in lists]
-    blocks = spark.createDataFrame([(r["list"], 1 + (r["n"] - 1) // BLOCK) for r in lists], "list int, blocks bigint")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // BLOCK))
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    n_packs = max(-(-n // BLOCK), min(wanted, math.isqrt(wanted * n // max(1, n_queries)) or 1))  # few queries: more packs; many: fewer, as each goes to most of them
+    sizes = np.zeros(len(centres), dtype=np.int64)
+    sizes[[r["list"] for r in lists]] = [r["n"] for r in lists]
+    most = -(-n // n_packs)
+    packs = packs_of(centres, sizes, most)
+    held = np.bincount(packs, weights=sizes).astype(np.int64)
+    blocks = spark.createDataFrame([(r["list"], int(packs[r["list"]]), 1 + (int(held[packs[r["list"]]]) - 1) // most) for r in lists], "list int, pack int, blocks bigint")
+    shares = max(1, min(-(-wanted // (int(held.size) or 1)), -(-n_queries // (4 * CHUNK))))
+    tasks = max(wanted, 2 * shares * int(sum(1 + (x - 1) // most for x in held.tolist() if x)))
     asked = queries.select("query", "vector", F.lit(float(least)).alias("floor"))
-    first = _searched(members, _visits(asked, centres, radius, True), blocks, tasks, width, k, per_group)
+    first = kept(_searched(members, _visits(asked, centres, radius, True, packs), blocks, shares, tasks, width, k, per_group))
     reached = _ranked(first, k, per_group).filter(F.col("rank") == k).select("query", F.col("score").alias("reached"))
     raised = asked.join(reached, "query", "left").select("query", "vector", F.greatest("floor", F.coalesce("reached", "floor")).alias("floor"))
-    rest = _searched(members, _visits(raised, centres, radius, False), blocks, tasks, width, k, per_group)
+    rest = _searched(members, _visits(raised, centres, radius, False, packs), blocks, shares, tasks, width, k, per_group)
     return _ranked(first.unionByName(rest).filter(F.col("score") >= least), k, per_group).select("query", "rank", "id", "score")
 
 

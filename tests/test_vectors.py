@@ -58,3 +58,19 @@ def test_nothing_to_search(spark):
     asked = spark.createDataFrame([(5, [1.0, 0.0])], "query bigint, vector array<float>")
     assert vectors.nearest(empty, asked).collect() == [] and vectors.nearest(some, asked.limit(0)).collect() == []
     assert [tuple(r) for r in vectors.nearest(some, asked).collect()] == [(5, 1, 1, 1.0)]
+
+
+def test_a_query_goes_to_packs_and_not_to_every_list(spark):
+    """Points that don't cluster: every list may hold better ones, but what is sent is a few rows a query, in small batches."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(4000, 16))
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    lists = vectors.centres_of(unit, 60)
+    near = (unit @ lists.T).argmax(axis=1)
+    radius = np.array([vectors.apart(unit[near == i] @ lists[i]).max(initial=-1) for i in range(len(lists))])
+    packs = vectors.packs_of(lists, np.bincount(near, minlength=len(lists)), 1000)
+    assert len(set(packs.tolist())) <= 8
+    frame = spark.createDataFrame([(i, [float(x) for x in p], 0.1) for i, p in enumerate(points[:300])], "query bigint, vector array<double>, floor double").coalesce(1)
+    sent = [vectors._visits(frame, lists, radius, first, packs) for first in (True, False)]
+    rows = sorted((r["query"], r["list"]) for df in sent for r in df.select("query", "list").collect())
+    assert len(rows) == len(set(rows)) <= 300 * 8
