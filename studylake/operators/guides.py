@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.dates import let
 from . import segments
 from .passages import STOP, norm
 from .tasks import stripped, words
@@ -61,24 +60,26 @@ def _mark(kind: int, weight: float):
 def spread(terms: DataFrame, passages: DataFrame) -> DataFrame:
     """(note, key, passages): in how many passages of its note a term (note, key: in small letters) stands between word boundaries.
 
-    Passages are read as words and what stands between; runs of as many words as terms have are joined with the
-    terms by equality. Terms that begin or end with something else than a word are looked for in their note's passages.
+    Each passage meets the terms of its note as one row. It is read as words and what stands between; where the
+    first word of a term stands, runs of as many words as terms have are looked up among the terms. Only terms
+    that are found leave the row. Terms that begin or end with something else than a word are looked for one by one.
     """
     edged = F.col("key").rlike(r"(?Us)^\w(?:.*\w)?$")
     said = passages.select("note", "place", F.lower("text").alias("said"))
-    counted = terms.filter(edged).withColumn("n", F.size(F.regexp_extract_all("key", F.lit(r"(?U)\w+"), F.lit(0))))
-    sizes = [r["n"] for r in counted.select("n").distinct().collect()]  # numbers of words that terms have
-    found = []
-    if sizes:
-        rows = said.select("note", "place", F.regexp_extract_all("said", F.lit(r"(?U)\w+|[^\w]+"), F.lit(0)).alias("p"))
-        starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get("p", i).rlike(r"(?U)^\w"))
-        runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: i + 2 * n - 1 <= F.size("p")), lambda n: F.array_join(F.slice("p", i + 1, 2 * n - 1), ""))))
-        grams = rows.filter(F.size("p") > 0).select("note", "place", F.explode(F.array_distinct(runs)).alias("key"))
-        found.append(grams.join(counted.select("note", "key"), ["note", "key"]).select("note", "key", "place"))
+    words_of = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))
+    counted = terms.filter(edged).select("note", "key", words_of(F.col("key")).alias("w"))
+    named = counted.groupBy("note").agg(F.collect_set("key").alias("keys"), F.collect_set(F.get("w", F.lit(0))).alias("firsts"), F.collect_set(F.size("w")).alias("sizes"))
+    rows = said.join(named.hint("merge"), "note").select("note", "place", "keys", "firsts", "sizes", F.regexp_extract_all("said", F.lit(r"(?U)\w+|[^\w]+"), F.lit(0)).alias("p"))
+
+    def runs(p: Column, heads: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_contains(heads, F.get(p, i)))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter("sizes", lambda n: i + 2 * n - 1 <= F.size(p)), lambda n: F.array_join(F.slice(p, i + 1, 2 * n - 1), ""))))
+
+    held = let(F.col("p"), lambda p: let(F.array_intersect(p, F.col("firsts")), lambda heads: F.when(F.size(heads) > 0, F.array_intersect(runs(p, heads), F.col("keys")))))
+    found = rows.filter(F.size("p") > 0).select("note", "place", F.explode(held).alias("key"))
     literal = F.regexp_replace("key", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     odd = terms.filter(~edged).join(said, "note").filter(F.contains("said", F.col("key"))).filter(F.rlike("said", F.concat(F.lit(r"(?U)(?<!\w)"), literal, F.lit(r"(?!\w)"))))
-    found.append(odd.select("note", "key", "place"))
-    return functools.reduce(DataFrame.unionByName, found).groupBy("note", "key").agg(F.countDistinct("place").alias("passages"))
+    return found.select("note", "key", "place").unionByName(odd.select("note", "key", "place")).groupBy("note", "key").agg(F.countDistinct("place").alias("passages"))
 
 
 def key_terms(passages: DataFrame) -> DataFrame:
