@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import memory
+from ..sources.kept import kept
 from ..sources.views import day_number
 
 # fixed values: when a card is mature and a deck is ready, and the grid of retention targets
@@ -178,6 +179,7 @@ def fit(samples: DataFrame, rounds: int = 40) -> DataFrame:
 
     The samples are written once; each trial pair is one aggregate over them, of which a few numbers reach the driver.
     """
+    samples = kept(samples.select("stability", "elapsed", "remembered"))
     start = list(memory.WEIGHTS)
     known: dict[float, float] = {}
 
