@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources import markdown
+from ..sources.kept import kept as once
 from . import judgement, passages, repair, segments
 from .tasks import stripped, words
 
@@ -118,11 +119,11 @@ def drafted(items: DataFrame, most_words: int = repair.MOST_WORDS) -> DataFrame:
     from the note's sentences; an item that gives no card has a row without front, and tag names the rule it breaks.
     items: ITEM, with a card number each.
     """
-    rows = read(items)
+    rows = once(read(items))  # else each branch below reads all items again, and its filters repeat the rules
     fine = rows.filter("reason = ''").drop("reason")
     blank = F.col("front").rlike(CLOZE)
     asked = fine.select("card", F.when(blank, "").otherwise(F.col("front")).alias("question"), F.when(blank, F.regexp_replace("front", CLOZE, "$1")).otherwise(F.col("back")).alias("answer"), "quote", "passage", "format")
-    cited = passages.grounded(asked.filter("format <> 'explain'").drop("format")).unionByName(passages.grounded(asked.filter("format = 'explain'").drop("format"), explain=True))
+    cited = once(passages.grounded(asked, explain=F.col("format") == "explain"))  # every branch below asks for it
     held = fine.drop("quote").join(cited.select("card", "citation", "how"), "card", "left")
     n = F.size(words(F.col("back")))
     choice = F.concat(F.lit("choice-"), judgement.choice_verdict(F.col("back"), F.col("options")))

@@ -114,7 +114,7 @@ def split_to_cloze(cards: DataFrame, most: int = MOST_CARDS) -> DataFrame:
     rows = rows.filter((F.length("item") >= ITEM_CHARS) & (n_words(F.col("item")) <= ITEM_WORDS))
     rows = rows.withColumn("again", F.row_number().over(W.partitionBy("card", F.lower("item")).orderBy("at"))).filter("again = 1")
     holding = F.filter(F.transform("said", lambda s, i: F.struct(F.length(s).alias("size"), i.alias("i"), s.alias("text"))), lambda s: F.contains(F.lower(s["text"]), F.lower(F.col("item"))))
-    rows = rows.select("card", "at", "item", F.array_min(holding)["text"].alias("source"))
+    rows = rows.select("card", "at", "item", F.explode(F.array(F.array_min(holding)["text"])).alias("source"))  # exploded, so that filters on it don't search again
     fits = F.col("source").isNotNull() & ~F.contains("source", F.lit("{{")) & (F.length("source") - F.length("item") >= CONTEXT_CHARS)
     rows = rows.filter(fits).withColumn("begin", F.instr(F.lower("source"), F.lower("item")))
     place = W.partitionBy("card").orderBy("at")

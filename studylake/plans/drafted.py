@@ -10,9 +10,9 @@ from ..sources import views
 
 def items(spark, d):
     """What a model might say about each document: questions and answers from its text, each fourth or so of them against a rule."""
-    docs = views.table(spark, d, "documents")
-    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    flat = F.regexp_replace(text, r"\s+", " ")
+    text = F.coalesce("text", F.lit(""))
+    docs = views.table(spark, d, "documents").select("doc_id", text.alias("text"), F.regexp_replace(text, r"\s+", " ").alias("flat"))
+    i, text, flat = F.col("doc_id"), F.col("text"), F.col("flat")
     q = F.when(i % 10 == 0, "").when(i % 10 == 1, "Why?").when(i % 10 == 2, F.concat(F.lit("As mentioned, what of "), F.substring(flat, 1, 20))).when(i % 10 == 3, F.substring(flat, 1, 40)).otherwise(F.concat(F.lit("What about "), F.substring(flat, 1, 30)))
     a = F.when(i % 10 == 3, F.lower(F.substring(flat, 1, 40))).when(i % 10 == 4, F.lit("Own Title!")).when(i % 10 == 5, F.substring(flat, 1, 401)).when(i % 10 == 6, F.lit("nothing that stands there qqq")).otherwise(F.substring(flat, 31, 40))
     why = F.when(i % 3 == 0, F.substring(flat, 25, 60)).when(i % 3 == 1, "not a quotation of it")
