@@ -97,7 +97,7 @@ def session_summaries(spark, d):
 
 def option_orders(spark, d):
     """Choice cards of customers: the options come in an order of their own, whatever order they were given in."""
-    c = views.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    c = views.dealt(views.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     given = F.array(F.lit("Red"), F.col("c_name"), F.lit("blue "), F.lit("RED"))
     one, other = (doings.shuffled_options(F.col("c_custkey"), x, F.col("c_mktsegment")) for x in (given, F.reverse(F.transform(given, lambda x: F.initcap(x)))))
     return c.select("c_custkey", F.size(one).alias("options"), F.array_contains(one, F.col("c_mktsegment")).alias("holds"), (F.size(other) == F.size(one)).alias("same"))

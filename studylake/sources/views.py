@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a file that is small for the work that each row makes, dealt to all tasks; their number is given, as by their size they would be put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def day_number(ts: str):
     """A time without zone as days since 1970, whatever the session's zone."""
     return F.unix_date(F.to_date(ts)) + (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), F.col(ts)).cast("double")) / 86400.0
