@@ -85,7 +85,7 @@ CAPTURES = [
 
 
 def capture_rules(spark, d):
-    rows = views.table(spark, d, "customer").select(F.col("c_custkey").alias("note"), F.element_at(F.array(*(F.lit(c[0]) for c in CAPTURES)), (F.col("c_custkey") % len(CAPTURES) + 1).cast("int")).alias("text"))
+    rows = views.dealt(views.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("note"), F.element_at(F.array(*(F.lit(c[0]) for c in CAPTURES)), (F.col("c_custkey") % len(CAPTURES) + 1).cast("int")).alias("text"))
     t = F.col("text")
     return rows.select("note", captures.title(t).alias("title"), captures.level(t).alias("level"), captures.is_learning(t).alias("learning"), F.size(captures.steps(t)).alias("steps"), F.array_join(captures.skills(t), "|").alias("skills"), F.array_join(captures.materials(t), "|").alias("materials"), dates.duration_minutes(t).alias("minutes"))
 
