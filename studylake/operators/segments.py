@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import captures
+from ..functions.dates import let
 
 # fixed values: words of a part at most, and of a fragment under a heading or elsewhere that joins the part before it
 MOST_WORDS, LEAST_UNDER_HEADING, LEAST_WORDS = 400, 12, 30
@@ -19,38 +20,93 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
+def _lines(text: Column) -> Column:
+    """A text's lines in order, as structs of at, line, kind and level (see `lines`)."""
+
+    def open_at(ls: Column) -> Column:
+        # up to a line stand as many marks of fences as up to the mark behind it: each stretch between two marks is open or not as a whole
+        marks = F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(FENCE), i)), lambda i: i.isNotNull())
+        stretch = lambda edges: F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: F.array_repeat(k % 2 == 1, F.get(edges, k + 1) - F.get(edges, k)))
+        return let(F.concat(F.array(F.lit(-1)), marks, F.array(F.size(ls) - 1)), lambda edges: F.flatten(stretch(edges)))
+
+    def kind(line: Column, open_: Column) -> Column:
+        return F.when(open_ | line.rlike(FENCE), "code").when(F.trim(line) == "", "blank").when(line.rlike(HEADING), "heading").when(line.rlike(RULE), "rule").when(line.rlike(TABLE), "table").when(line.rlike(BULLET), "list").otherwise("para")
+
+    def told(ls: Column) -> Column:
+        kinds = let(open_at(ls), lambda opens: F.transform(ls, lambda x, i: F.struct(i.alias("at"), x.alias("line"), kind(x, F.get(opens, i)).alias("kind"))))
+        return F.transform(kinds, lambda z: F.struct(z["at"], z["line"], z["kind"], F.when(z["kind"] == "heading", F.length(F.regexp_extract(z["line"], HEADING, 1))).alias("level")))
+
+    return let(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), told)
+
+
+def _said(lines_: Column) -> Column:
+    return F.array_join(F.transform(lines_, lambda z: z["line"]), "\n")
+
+
+def _stretches(rows: Column, starts: Column, skipped: int = 0) -> Column:
+    """The rows from each start (places, in order) to the next one, without the first ones."""
+    ends = F.array_append(F.slice(starts, F.lit(2), F.size(starts)), F.size(rows))
+    return let(ends, lambda ends_: F.transform(starts, lambda b, k: F.slice(rows, b + 1 + skipped, F.get(ends_, k) - b - skipped)))
+
+
+def _block_starts(rows: Column) -> Column:
+    """Where a block begins among lines that aren't blank."""
+
+    def apart(z: Column, before: Column) -> Column:
+        return before.isNull() | (before["kind"] != z["kind"]) | ((z["at"] - before["at"] > 1) & (z["kind"] != "code")) | z["kind"].isin("heading", "rule")
+
+    return F.filter(F.transform(rows, lambda z, i: F.when(apart(z, F.get(rows, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _blocks(text: Column) -> Column:
+    """A text's blocks in order, each as its lines."""
+    solid = F.filter(_lines(text), lambda z: z["kind"] != "blank")
+    return let(solid, lambda rows: let(_block_starts(rows), lambda starts: _stretches(rows, starts)))
+
+
+def _block_structs(text: Column) -> Column:
+    """A text's blocks in order, as structs of block, kind, level, title, text and words."""
+
+    def told(b: Column, k: Column) -> Column:
+        first = F.get(b, F.lit(0))
+        title = F.when(first["kind"] == "heading", F.regexp_extract(first["line"], HEADING, 2))
+        return F.struct(k.cast("long").alias("block"), first["kind"].alias("kind"), first["level"].alias("level"), title.alias("title"), _said(b).alias("text"))
+
+    each = F.transform(_blocks(text), told)
+    return F.transform(each, lambda z: F.struct(*(z[c] for c in ("block", "kind", "level", "title", "text")), word_count(z["text"]).cast("long").alias("words")))
+
+
+def _cut_level(levels: Column) -> Column:
+    """The shallowest level that repeats, or the deepest if none does; null without headings."""
+    again = F.filter(F.array(*map(F.lit, range(1, 7))), lambda n: F.size(F.filter(levels, lambda x: x == n)) > 1)
+    return F.coalesce(F.array_min(again), F.array_max(levels))
+
+
 def lines(notes: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
     """(key, line number, line, kind, level): kind is heading, rule, code, blank, list, table or para; marks within fences are code."""
-    rows = notes.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("at", "line"))
-    before = W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    mark = F.col("line").rlike(FENCE)
-    rows = rows.withColumn("open", F.coalesce(F.sum(mark.cast("int")).over(before), F.lit(0)) % 2 == 1)
-    line = F.col("line")
-    kind = F.when(F.col("open") | mark, "code").when(F.trim(line) == "", "blank").when(line.rlike(HEADING), "heading").when(line.rlike(RULE), "rule").when(line.rlike(TABLE), "table").when(line.rlike(BULLET), "list").otherwise("para")
-    return rows.select(key, "at", "line", kind.alias("kind")).withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", HEADING, 1))))
+    return notes.select(key, F.explode(_lines(F.col(text))).alias("z")).select(key, "z.*")
 
 
 def blocks(notes: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
     """(key, block, kind, words, lines): runs of lines of one kind; headings and rules stand alone, fences stay whole with their empty lines."""
-    rows = lines(notes, key, text).filter("kind <> 'blank'")
-    w = W.partitionBy(key).orderBy("at")
-    gap = (F.col("at") - F.lag("at").over(w) > 1) & (F.col("kind") != "code")
-    apart = F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind")) | gap | F.col("kind").isin("heading", "rule")
-    rows = rows.withColumn("block", F.sum(apart.cast("int")).over(w) - 1)
-    return rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.sum(word_count(F.col("line"))).alias("words"), F.count(F.lit(1)).alias("lines"))
+    rows = notes.select(key, F.posexplode(_blocks(F.col(text))).alias("block", "b"))
+    return rows.select(key, F.col("block").cast("long").alias("block"), F.get("b", F.lit(0))["kind"].alias("kind"), word_count(_said(F.col("b"))).cast("long").alias("words"), F.size("b").cast("long").alias("lines"))
 
 
 def sections(notes: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
-    """(key, section, title, words, body): cut at headings up to the shallowest level that repeats, or the deepest if none does; without headings a note is one section."""
-    rows = lines(notes, key, text)
-    levels = rows.filter("kind = 'heading'").groupBy(key, "level").agg(F.count(F.lit(1)).alias("n"))
-    cut = levels.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("n") > 1, F.col("level"))), F.max("level")).alias("cut"))
-    rows = rows.join(cut, key, "left")
-    head = F.coalesce((F.col("kind") == "heading") & (F.col("level") <= F.col("cut")), F.lit(False))
-    rows = rows.withColumns({"head": head, "section": F.sum(head.cast("int")).over(W.partitionBy(key).orderBy("at"))})
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    title = F.max(F.when(F.col("head"), F.regexp_extract("line", HEADING, 2)))
-    out = rows.groupBy(key, "section").agg(title.alias("title"), F.sum(F.when(~F.col("head"), word_count(F.col("line"))).otherwise(0)).alias("words"), F.btrim(body, F.lit("\n")).alias("body"))
+    """(key, section, title, words, body): cut at headings up to the shallowest level that repeats, or the deepest if none does; without headings a note is one section.
+
+    A note's lines stay in its row, so nothing is shuffled or sorted.
+    """
+
+    def cut(rows: Column) -> Column:
+        level = _cut_level(F.transform(F.filter(rows, lambda z: z["kind"] == "heading"), lambda z: z["level"]))
+        heads = let(level, lambda most: F.filter(F.transform(rows, lambda z, i: F.when((z["kind"] == "heading") & (z["level"] <= most), i)), lambda i: i.isNotNull()))
+        # the first section has no heading: it begins where one would stand before the first line
+        return let(F.array_prepend(heads, F.lit(-1)), lambda starts: F.transform(F.arrays_zip(starts.alias("b"), _stretches(rows, starts, 1).alias("body")), lambda z: F.struct(F.when(z["b"] >= 0, F.regexp_extract(F.get(rows, z["b"])["line"], HEADING, 2)).alias("title"), _said(z["body"]).alias("body"))))
+
+    each = notes.select(key, F.posexplode(let(_lines(F.col(text)), cut)).alias("section", "z"))
+    out = each.select(key, F.col("section").cast("long").alias("section"), "z.title", word_count(F.col("z.body")).cast("long").alias("words"), F.btrim("z.body", F.lit("\n")).alias("body"))
     return out.filter(F.col("words") > 0)
 
 
@@ -106,21 +162,20 @@ def comparable(text: Column) -> Column:
 
 
 def lost_lines(notes: DataFrame, cut: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
-    """Lines of notes that neither bodies nor titles of their sections (cut: key, title, body) have."""
-    have = cut.select(key, F.explode(comparable(F.concat_ws("\n", "title", "body"))).alias("line")).distinct()
-    return notes.select(key, F.explode(comparable(F.col(text))).alias("line")).join(have, [key, "line"], "left_anti")
+    """Lines of notes that neither bodies nor titles of their sections (cut: key, title, body) have.
+
+    A note meets the lines of its sections as one row. The join is sorted: what a table's file tells of its size
+    says nothing of the texts that were made of it, so neither side may be broadcast.
+    """
+    none = F.array().cast("array<string>")
+    have = cut.select(key, comparable(F.concat_ws("\n", "title", "body")).alias("have")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
+    rows = notes.select(key, comparable(F.col(text)).alias("said")).join(have.hint("merge"), key, "left").select(key, "said", F.array_except("said", F.coalesce("have", none)).alias("lost"))
+    return rows.filter(F.size("lost") > 0).select(key, F.explode(F.filter("said", lambda x: F.array_contains("lost", x))).alias("line"))
 
 
 def block_texts(notes: DataFrame, key: str = "note", text: str = "text") -> DataFrame:
     """The blocks of notes with their text, and of headings level and title."""
-    rows = lines(notes, key, text).filter("kind <> 'blank'")
-    w = W.partitionBy(key).orderBy("at")
-    gap = (F.col("at") - F.lag("at").over(w) > 1) & (F.col("kind") != "code")
-    apart = F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind")) | gap | F.col("kind").isin("heading", "rule")
-    rows = rows.withColumn("block", F.sum(apart.cast("int")).over(w) - 1)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    title = F.max(F.when(F.col("kind") == "heading", F.regexp_extract("line", HEADING, 2)))
-    return rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), title.alias("title"), joined.alias("text"), F.sum(word_count(F.col("line"))).alias("words"))
+    return notes.select(key, F.explode(_block_structs(F.col(text))).alias("z")).select(key, "z.*")
 
 
 def plans(blocks_: DataFrame, key: str = "note", topics: DataFrame | None = None) -> DataFrame:
@@ -132,8 +187,11 @@ def plans(blocks_: DataFrame, key: str = "note", topics: DataFrame | None = None
     if topics is not None:
         rows = rows.join(topics.groupBy(key).agg(F.countDistinct("block").alias("topics")), key, "left")
         named = F.coalesce(F.col("topics") >= 2, F.lit(False))
-    plan = F.when(F.col("cut").isNotNull(), "heading").when(F.col("ruled"), "rule").when(F.col("words") < SPLIT_FLOOR, "whole").when(named, "topic").otherwise("size")
-    return rows.select(key, plan.alias("plan"), "cut", "words")
+    return rows.select(key, _plan(F.col("words"), named).alias("plan"), "cut", "words")
+
+
+def _plan(words: Column, named: Column) -> Column:
+    return F.when(F.col("cut").isNotNull(), "heading").when(F.col("ruled"), "rule").when(words < SPLIT_FLOOR, "whole").when(named, "topic").otherwise("size")
 
 
 def segmented(notes: DataFrame, key: str = "note", text: str = "text", topics: DataFrame | None = None, most: int = MOST_WORDS) -> DataFrame:
@@ -143,8 +201,13 @@ def segmented(notes: DataFrame, key: str = "note", text: str = "text", topics: D
     is larger than most is packed again, block by block; then a fragment joins the segment before it where both
     have room, and a first one the segment behind it; a joined one brings its heading along.
     """
-    each = block_texts(notes, key, text)
-    each = each.join(plans(each, key, topics), key).drop("words").join(each.select(key, "block", "words"), [key, "block"])
+    whole = notes.select(key, _block_structs(F.col(text)).alias("b")).filter(F.size("b") > 0)
+    if topics is not None:
+        whole = whole.join(topics.groupBy(key).agg(F.countDistinct("block").alias("topics")), key, "left")
+    heads = F.transform(F.filter("b", lambda z: z["kind"] == "heading"), lambda z: z["level"])
+    whole = whole.withColumns({"cut": let(heads, _cut_level), "ruled": F.exists("b", lambda z: z["kind"] == "rule"), "all": F.aggregate("b", F.lit(0).cast("long"), lambda n, z: n + z["words"])})
+    whole = whole.withColumn("plan", _plan(F.col("all"), F.coalesce(F.col("topics") >= 2, F.lit(False)) if topics is not None else F.lit(False)))
+    each = whole.select(key, "plan", "cut", F.explode("b").alias("z")).select(key, "plan", "cut", "z.*")
     order = W.partitionBy(key).orderBy("block")
     head = (F.col("plan") == "heading") & (F.col("kind") == "heading") & (F.col("level") <= F.col("cut"))
     rule = (F.col("plan") == "rule") & (F.col("kind") == "rule")
@@ -180,11 +243,10 @@ def segmented(notes: DataFrame, key: str = "note", text: str = "text", topics: D
 
 def _without_fragments(cut: DataFrame, key: str, most: int) -> DataFrame:
     """Segments (key, segment, part, plan, boundary, title, path, body, words) with fragments joined to a neighbour, numbered."""
-    at = F.row_number().over(W.partitionBy(key).orderBy("segment", "part")) - 1
     least = F.when(F.col("plan") == "heading", LEAST_UNDER_HEADING).otherwise(LEAST_WORDS)
     carried = F.when(F.col("title").isNull(), 0).otherwise(1 + word_count(F.col("title")))
-    rows = cut.withColumns({"at": at, "least": least, "carried": carried})
-    sizes = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col("words").cast("long").alias("words"), "least", "carried"))).alias("s"))
+    held = ("segment", "part", F.col("words").cast("long").alias("words"), least.alias("least"), carried.alias("carried"), "plan", "boundary", "title", "path", "body")
+    sizes = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("s"))
     start = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("room"), F.array().cast("array<int>").alias("groups"))
 
     def step(a: Column, x: Column) -> Column:
@@ -192,8 +254,7 @@ def _without_fragments(cut: DataFrame, key: str, most: int) -> DataFrame:
         group = F.when(joins, a["group"]).otherwise(a["group"] + 1)
         return F.struct(group.alias("group"), F.when(joins, a["room"] + x["words"] + x["carried"]).otherwise(x["words"]).alias("room"), F.array_append(a["groups"], group).alias("groups"))
 
-    grouped = sizes.select(key, F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("at"), F.aggregate("s", start, step)["groups"].alias("group"))).alias("z")).select(key, "z.*")
-    rows = rows.join(grouped, [key, "at"])
+    rows = sizes.select(key, F.posexplode(F.arrays_zip("s", F.aggregate("s", start, step)["groups"].alias("group"))).alias("at", "z")).select(key, "at", "z.s.*", "z.group")
     lead = F.row_number().over(W.partitionBy(key, "group").orderBy("at")) == 1
     rows = rows.withColumn("lead", lead).withColumn("all", F.sum(F.col("words") + F.when(F.col("lead"), 0).otherwise(F.col("carried"))).over(W.partitionBy(key, "group")))
     of = W.partitionBy(key)

@@ -10,7 +10,7 @@ from ..sources import views
 
 def texts(spark, d):
     """A note of three headings with a fence, a list, a rule and two long paragraphs; every fifth has no heading."""
-    p = views.table(spark, d, "part")
+    p = views.dealt(views.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     head = F.when(F.col("p_partkey") % 5 == 0, "Top\n\n").otherwise("# Top\n\nIntro of note\n\n## First\n\nalpha beta\n- item one\n\n```\n# not a heading\n\nend\n```\n\n## Second\n\n")
     return p.select(F.col("p_partkey").alias("note"), F.concat(head, F.repeat(F.lit("word "), F.col("p_size") * 12), F.lit("\n\n---\n\n"), F.repeat(F.lit("more "), F.col("p_size") * 6)).alias("text"))
 
