@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.dates import let
 from . import vault
 
 # fixed values: grades after which a card is to be explained, words of a note that cards are made from, days between check-ins
@@ -32,9 +33,9 @@ def shuffled_options(card: Column, options: Column, answer: Column) -> Column:
     """A choice card's options with the answer among them, once each, in an order that only card and option decide (by their hash)."""
     flat = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
     every = F.filter(F.transform(F.concat(F.coalesce(options, F.array().cast("array<string>")), F.array(F.coalesce(answer, F.lit("")))), lambda x: F.trim(x)), lambda x: x != "")
-    keys = F.transform(every, lambda x: flat(x))
-    once = F.filter(every, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return F.transform(F.array_sort(F.transform(once, lambda x: F.struct(F.xxhash64(card, x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    once = let(every, lambda xs: let(F.transform(xs, flat), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    hashed = F.transform(once, lambda x: F.struct(F.xxhash64(card, x).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(hashed), lambda s: s["x"])
 
 
 def worked_example(lines: Column, reps: Column, mature_share: Column) -> Column:
