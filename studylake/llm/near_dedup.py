@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ SHINGLE, PERCENT = 4, 80
 TREES, DEPTH = 12, 4  # a signature has TREES * DEPTH values of 16 bits
 NEIGHBOURS, HUBS, DENSE = 2, 2, 16  # DENSE: rows with one prefix from which hubs are sought
 ROUNDS = 3
-BINS, SAMPLED, SPARSEST, RANKED = 1 << 24, 20_000, 3, 1_000_000  # shingles are counted in bins of a sample; this orders them and decides nothing
+BINS, RANKED, PACKED = 1 << 24, 1_000_000, 1 << 20  # shingles are counted in bins; this orders them and decides nothing
 WORDS = 8  # of 64 parity bits
 LARGE = 500  # shingles of a set that has longer parities besides
 SALTED = 2000  # nodes of a shingle on one side of a task
@@ -201,7 +202,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int
     rows = rows.select("key", build("text").alias("s")).select("key", "s.*")
     names = nodes.select("node", "rep", F.col("name").alias("known"))
     names = F.broadcast(names) if small else names
-    found = rows.join(names, F.col("key").eqNullSafe(F.col("rep")) & (F.col("name") == F.col("known")))
+    # a plain equality has Spark ask all documents first whether build() gives them a name
+    found = rows.join(names, F.col("key").eqNullSafe(F.col("rep")) & F.col("name").eqNullSafe(F.col("known")))
     with arrow_batches(docs.sparkSession, 256):
         return written(found.select("node", "hashes").dropDuplicates(["node"]), "sets")
 
@@ -234,20 +236,54 @@ def components(edges: DataFrame) -> DataFrame:
         stars = written(small.filter("u <> v").distinct(), "stars")
 
 
-def frequency_ranks(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of hashes in order, with a rank for each by how often a sample of the documents has it; other bins have rank 0. Any ranks give the same links.
+def bin_counts(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(bin, n) of the bins that more than one of all documents' shingles fall into.
 
-    The sample is a third of the documents, or SAMPLED of them where that is more. Bins hold more than one
-    shingle, so those count as frequent that stand out from the mean by four deviations.
+    Bins go through the shuffle packed: the low 16 bits of each, in one row for each of the 256 values of the high 8 bits.
     """
 
-    @F.pandas_udf("array<int>")
-    def bins(texts: pd.Series) -> pd.Series:
-        return pd.Series([(shingle_set(t, shingle) & np.uint64(BINS - 1)).astype(np.int32) for t in texts])
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append((shingle_set(t, shingle) & np.uint64(BINS - 1)).astype(np.uint32))
+                size += len(held[-1])
+                if size >= PACKED:
+                    yield pack(held)
+                    held, size = [], 0
+        if size:
+            yield pack(held)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        cut = np.searchsorted(every, np.arange(257, dtype=np.uint64) << np.uint64(16))
+        low = every.astype("<u2")  # the low 16 bits
+        high = [i for i in range(256) if cut[i] < cut[i + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(high, pa.int32()), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in high], pa.binary())], ["high", "low"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for high, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = np.bincount(np.frombuffer(low.as_buffer(), dtype="<u2"), minlength=1 << 16)
+                counts[high] = counts[high] + n if high in counts else n
+        for high, n in counts.items():
+            many = np.flatnonzero(n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array((many + (high << 16)).astype(np.int32)), pa.array(n[many].astype(np.int64))], ["bin", "n"])
+
+    spark = docs.sparkSession
+    with arrow_batches(spark, 1000):
+        rows = docs.select(text).mapInArrow(packed, "high int, low binary").repartition(parts(spark), "high")
+        return written(rows.mapInArrow(counted, "bin int, n bigint"), "bins")
 
-    part = max(1, min(SPARSEST, docs.count() // SAMPLED))
-    seen = docs.filter(F.pmod(F.xxhash64(text), F.lit(part)) == 0).select(F.explode(bins(text)).alias("bin"))
-    counts = written(seen.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bins")
+
+def frequency_ranks(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of hashes in order, with a rank for each by how often the documents have it; other bins have rank 0. Any ranks give the same links.
+
+    All documents are counted. Bins hold more than one shingle, so those count as frequent that stand out from
+    the mean by four deviations.
+    """
+    counts = bin_counts(docs, text, shingle)
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BINS
     least = 3 + mean + 4 * mean**0.5
     often = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "bin").limit(RANKED).toPandas().sort_values("bin")  # the most frequent; two small columns

@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from studylake.llm import near_dedup
 from studylake.operators import drafts, guides, passages, segments, study
 from studylake.plans import registry
 
@@ -73,3 +76,23 @@ def test_long_texts_come_to_python_in_small_batches(spark):
 def test_rows_of_a_small_file_are_dealt_to_all_tasks(spark):
     for name in ("option_orders", "capture_rules", "text_sections"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_ranks_of_shingles_count_all_documents(spark):
+    docs = spark.range(45_000).select(F.concat(F.lit("a b c d x"), F.col("id")).alias("text"))
+    bins, ranks = near_dedup.frequency_ranks(docs.unionByName(docs.select(F.concat(F.lit("a b c d "), F.col("text")).alias("text"))), "text", 4)
+    known = int(near_dedup.shingle_set("a b c d")[0]) % near_dedup.BINS
+    assert dict(zip(bins.tolist(), ranks.tolist(), strict=True))[known] == 17  # 90,000 lie between 2**16 and 2**17
+    none = near_dedup.bin_counts(docs.limit(0).unionByName(spark.createDataFrame([(None,)], "text string")), "text", 4)
+    assert none.count() == 0
+
+
+def test_shingle_sets_are_made_of_wanted_documents_alone(spark, monkeypatch):
+    plans = []
+    written = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: plans.append((name, plan(df))) or written(df, name))
+    docs = spark.createDataFrame([(i, f"a b c d {i}") for i in range(20)], "doc_id bigint, text string")
+    sigs = near_dedup.described(docs, "doc_id", "text", 4, 80)
+    nodes = written(sigs.filter("key < 3").select(F.col("key").alias("node"), F.col("key").alias("rep"), "name"), "nodes")
+    assert near_dedup.sets_of(docs, nodes, "doc_id", "text", 4).count() == 3
+    assert [p.count("ArrowEvalPython") for name, p in plans if name == "sets"] == [1]
