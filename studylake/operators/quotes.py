@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..sources import markdown
+from ..sources.kept import kept
 from .passages import LEAST_QUOTE, norm
 
 # fixed values: characters of the shortest answer that is looked for and of the shortest piece of a cut cloze, and how much of a cloze is looked for
@@ -20,7 +21,7 @@ FENCED, LINKED = r"(?s)```.*?```", r"\[\[[^\]|#]+(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 MARKER = "<!-- suggested links, renewed by each run -->"
 
 
-@F.pandas_udf(ArrayType(LongType()))
+@F.pandas_udf(ArrayType(IntegerType()))
 def _kept_grams(texts: pd.Series) -> pd.Series:
     return pd.Series([kept_grams(t) for t in texts])
 
@@ -46,14 +47,15 @@ def containing(probes: DataFrame, passages: DataFrame, within: list[str] | None
     have; only those are searched. What a probe is long enough for it keeps, wherever it stands, so none is lost.
     """
     within = within or []
-    have = passages.select(*within, "place", norm(F.col("text")).alias("said"))
-    posted = have.select(*within, "place", F.explode(_kept_grams("said")).alias("gram"))
+    said = passages.select(*within, "place", norm(F.col("text")).alias("said"))
+    have = kept(said.withColumn("grams", _kept_grams("said")))  # read for counts, postings and texts
+    posted = have.select(*within, "place", F.explode("grams").alias("gram"))
     counts = posted.groupBy(*within, "gram").agg(F.count(F.lit(1)).alias("n"))
     asked = probes.select(*within, "probe", norm(F.col("text")).alias("sought")).filter(F.length("sought") >= GRAM + SPAN - 1)
     grams = asked.select(*within, "probe", "sought", F.explode(_kept_grams("sought")).alias("gram")).join(counts, [*within, "gram"], "left")
     # a gram that no passage has rules the probe out
     rarest = grams.groupBy(*within, "probe", "sought").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
-    found = rarest.drop("n").join(posted, [*within, "gram"]).join(have, [*within, "place"])
+    found = rarest.drop("n").join(posted, [*within, "gram"]).join(have.drop("grams"), [*within, "place"])
     return found.filter(F.contains("said", F.col("sought"))).select(*within, "probe", "place").distinct()
 
 

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from studylake.llm import near_dedup
-from studylake.operators import drafts, guides, passages, segments, study
+from studylake.operators import drafts, guides, passages, quotes, segments, study
 from studylake.plans import registry
 
 
@@ -96,3 +96,9 @@ def test_shingle_sets_are_made_of_wanted_documents_alone(spark, monkeypatch):
     nodes = written(sigs.filter("key < 3").select(F.col("key").alias("node"), F.col("key").alias("rep"), "name"), "nodes")
     assert near_dedup.sets_of(docs, nodes, "doc_id", "text", 4).count() == 3
     assert [p.count("ArrowEvalPython") for name, p in plans if name == "sets"] == [1]
+
+
+def test_quotations_read_their_passages_once(spark):
+    passages, seen = counted(spark, [(i, f"the energy in transit {i} between bodies") for i in range(20)], "place int, text string")
+    probes = spark.createDataFrame([(1, "transit 7 between")], "probe int, text string")
+    assert [tuple(r) for r in quotes.containing(probes, passages).collect()] == [(1, 7)] and seen.value == 20
