@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import captures as C
 from ..functions import dates
+from ..sources.kept import kept
 
 # fixed values: words of a task at least, of a capture that is cut at clauses and of a line in a list at most, tasks of a capture at most
 LEAST_WORDS, MOST_CLAUSE_WORDS, MOST_LINE_WORDS, MOST_TASKS = 2, 40, 30, 25
@@ -127,7 +128,7 @@ def split(captures: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     Parts that repeat an earlier one but for punctuation, and those of one word, are left out. inherits is the
     date phrase of a shared header, for tasks without one of their own. A capture without text has no tasks.
     """
-    rows = peeled(captures)
+    rows = kept(peeled(captures))  # filters on what is left of a text would otherwise take it apart again, date phrases and all
     ways = [by_lines(rows), by_clauses(rows), *([by_proposals(rows, proposals)] if proposals is not None else [])]
     tried = ways[0].withColumn("way", F.lit(0))
     for i, way in enumerate(ways[1:], 1):
@@ -139,10 +140,10 @@ def split(captures: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     best = best.withColumn("text", text).filter(F.size(words(F.col("text"))) >= LEAST_WORDS)
     best = best.withColumn("key", stripped(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", "")))
     best = best.withColumn("again", F.row_number().over(W.partitionBy("capture", "key").orderBy("n"))).filter("again = 1")
-    kept = rows.join(best.select("capture", "n", "way", "text"), "capture", "left")
-    kept = kept.withColumns({"tasks": F.count("text").over(W.partitionBy("capture")), "ordinal": F.row_number().over(W.partitionBy("capture").orderBy("n"))})
+    tasks = rows.join(best.select("capture", "n", "way", "text"), "capture", "left")
+    tasks = tasks.withColumns({"tasks": F.count("text").over(W.partitionBy("capture")), "ordinal": F.row_number().over(W.partitionBy("capture").orderBy("n"))})
     none = F.col("text").isNull()
     way = F.when(F.col("tasks") < 2, whole).otherwise(F.col("way"))
-    out = kept.select("capture", "ordinal", "today", F.element_at(F.array(*map(F.lit, WAYS)), way + 1).alias("way"), F.when(none, F.col("raw")).otherwise(F.col("text")).alias("text"), F.when(none, "").otherwise(F.col("inherits")).alias("header"))
+    out = tasks.select("capture", "ordinal", "today", F.element_at(F.array(*map(F.lit, WAYS)), way + 1).alias("way"), F.when(none, F.col("raw")).otherwise(F.col("text")).alias("text"), F.when(none, "").otherwise(F.col("inherits")).alias("header"))
     inherits = F.when(F.col("header") == "", "").when(phrase(F.col("text"), F.col("today")) != "", "").otherwise(F.col("header"))
     return out.select("capture", "ordinal", "way", "text", C.title(F.col("text")).alias("title"), inherits.alias("inherits"))

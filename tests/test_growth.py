@@ -1,11 +1,12 @@
 """What large tables would make a plan do: read its rows again, broadcast texts, shuffle lines, hold them by the thousands."""
 
+import datetime
 import re
 
 from pyspark.sql import functions as F
 
 from studylake.llm import near_dedup
-from studylake.operators import drafts, guides, passages, quotes, segments, study
+from studylake.operators import drafts, guides, passages, quotes, segments, study, tasks
 from studylake.plans import registry
 
 
@@ -102,3 +103,9 @@ def test_quotations_read_their_passages_once(spark):
     passages, seen = counted(spark, [(i, f"the energy in transit {i} between bodies") for i in range(20)], "place int, text string")
     probes = spark.createDataFrame([(1, "transit 7 between")], "probe int, text string")
     assert [tuple(r) for r in quotes.containing(probes, passages).collect()] == [(1, 7)] and seen.value == 20
+
+
+def test_splitting_reads_captures_once(spark):
+    rows = [(1, "- call Ann\n- email Bob"), (2, "email Ann, call Bob and then visit Cy"), (3, "read"), (4, None)]
+    captures, seen = counted(spark, [(i, t, datetime.date(2026, 8, 20)) for i, t in rows], "capture int, text string, today date")
+    assert sorted((r["capture"], r["text"]) for r in tasks.split(captures).collect())[:2] == [(1, "call Ann"), (1, "email Bob")] and seen.value == 4
