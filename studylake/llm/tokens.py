@@ -132,7 +132,7 @@ class Encoder:
         flat = lists.flatten()
         at = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         units = flat.dictionary_encode()
-        slots = self._slots(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        slots = self._slots(units.dictionary.to_numpy(zero_copy_only=False).tolist())[units.indices.to_numpy()]
         starts, sizes = self.starts[slots], self.sizes[slots]
         wide = sizes == 0
         wide[at] = False
