@@ -16,6 +16,7 @@ from .passages import LEAST_QUOTE, norm
 # fixed values: characters of the shortest answer that is looked for and of the shortest piece of a cut cloze, and how much of a cloze is looked for
 LEAST_ANSWER, LEAST_PIECE, CLOZE_CHARS = 6, 20, 120
 TITLE_CHARS = 5  # fixed value: the shortest title that is looked for
+FIRST_WORDS = 3  # fixed value: by how many of its first words a title is looked up before it is compared
 GRAM, SPAN = 4, 3  # of SPAN neighbouring grams of GRAM characters one is kept, so any GRAM + SPAN - 1 characters hold a kept one
 FENCED, LINKED = r"(?s)```.*?```", r"\[\[[^\]|#]+(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 MARKER = "<!-- suggested links, renewed by each run -->"
@@ -86,35 +87,56 @@ def prose(text: Column) -> Column:
     """A text without fenced code, without linked titles, and without the section of links that the system has written itself."""
     own = markdown.without_section(text, "Related")
     bare = F.when(F.contains(text, F.lit(MARKER)), own).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(bare, FENCED, " "), LINKED, " ")
+    cut = F.regexp_replace(F.regexp_replace(bare, FENCED, " "), LINKED, " ")
+    return F.when(F.contains(text, F.lit(MARKER)) | F.contains(text, F.lit("```")) | F.contains(text, F.lit("[[")), cut).otherwise(text)
 
 
 def is_matchable(title: Column) -> Column:
     return (F.length(F.trim(title)) >= TITLE_CHARS) & title.rlike("[A-Za-z]")
 
 
+def start_key(words: Column, at: Column, n: int) -> Column:
+    """A hash of n words from at on, or of those that are left."""
+    return F.xxhash64(*(F.get(words, at + i) for i in range(n)))
+
+
+def title_starts(notes: DataFrame, names: DataFrame, lengths: list[int]) -> DataFrame:
+    """(note, at): the numbers of the words, from 0, where a note's first words are those of a name; few others share a hash.
+
+    notes: note, said; names: key; lengths: how many words the keys are of. Rows are hashes of places, without texts,
+    and each text is read as words once: an inner explode would read it again to drop texts without words.
+    """
+    words = notes.select("note", F.regexp_extract_all("said", F.lit(r"(?U)[a-z\w]+"), F.lit(0)).alias("words"))  # a-z, which \w holds, is tried first
+    places = words.select("note", "words", F.posexplode_outer("words").alias("at", "word"))
+    keys = places.select("note", "at", F.explode(F.array(*(start_key(F.col("words"), F.col("at"), n) for n in lengths))).alias("key"))
+    return keys.join(names.select("key").distinct(), "key", "left_semi").groupBy("note").agg(F.collect_set("at").alias("at"))
+
+
 def mentions(notes: DataFrame, titles: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(note, target) for each title that a note's prose names letter for letter, case aside, the longest at each place.
 
     notes: note, text; titles: note, title (that begin and end with a word's letter); known: note, text of links
     that a note has already, by default those of notes. Of names that overlap, the first and there the longest
-    counts. Texts are read as words and what stands between; runs of as many words as any title has are joined
-    with the titles by equality. The numbers of words that titles have are collected: a row for each.
+    counts. Places whose first words are those of a title are found by hashes. From there alone texts are read as words
+    and what stands between; runs of as many words as any title has are joined with the titles by equality. The
+    numbers of words that titles have are collected: a row for each.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.regexp_extract_all(F.lower(prose(text)), F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
+    said = F.lower(prose(F.coalesce(F.col("text"), F.lit("")))).alias("said")
     name = F.lower(F.trim("title"))
     listed = titles.filter(is_matchable(F.col("title")) & name.rlike(r"(?U)^\w(?:.*\w)?$")).select("note", name.alias("name"), markdown.slug(F.col("title")).alias("slug"))
-    listed = listed.withColumn("words", F.size(F.regexp_extract_all("name", F.lit(r"(?U)\w+"), F.lit(0))))
     owner = listed.groupBy("slug").agg(F.min("note").alias("target"))
-    names = listed.select("name", "slug", "words").distinct().join(owner, "slug")
+    words = F.regexp_extract_all("name", F.lit(r"(?U)\w+"), F.lit(0))
+    named = listed.select("name", "slug").distinct().join(owner, "slug").withColumn("w", words)
+    names = kept(named.select("name", "slug", "target", F.size("w").alias("words"), start_key(F.col("w"), F.lit(0), FIRST_WORDS).alias("key")))  # read for sizes, keys and names
     sizes = sorted(r["words"] for r in names.select("words").distinct().collect())
     if not sizes:
         return notes.select("note", F.col("note").alias("target")).limit(0)
-    rows = notes.select("note", pieces.alias("p"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get("p", i).rlike(r"(?U)^\w"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: i + 2 * n - 1 <= F.size("p")), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("p", i + 1, 2 * n - 1), "").alias("name")))))
-    grams = rows.filter(F.size("p") > 0).select("note", F.explode(runs).alias("g")).select("note", "g.*")
+    starts = kept(title_starts(notes.select("note", said), names, sorted({min(n, FIRST_WORDS) for n in sizes})))  # of known size: few of them don't move the texts
+    pieces = F.regexp_extract_all("said", F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
+    rows = notes.select("note", "text").join(starts, "note").select("note", "at", said).select("note", "at", pieces.alias("p")).select("note", "at", "p", F.when(F.get("p", F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1).alias("lead"))
+    begin = F.transform("at", lambda a: F.col("lead") + 2 * a)
+    runs = F.flatten(F.transform(begin, lambda i: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: i + 2 * n - 1 <= F.size("p")), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("p", i + 1, 2 * n - 1), "").alias("name")))))
+    grams = rows.select("note", F.explode(runs).alias("g")).select("note", "g.*")
     hits = grams.join(names.select("name", "slug", "target"), "name").groupBy("note").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("shorter"), "slug", "target"))).alias("hits"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<slug:string,target:bigint>>").alias("found"))
     taken = F.aggregate("hits", start, lambda a, h: F.when(h["at"] >= a["end"], F.struct((h["at"] - 2 * h["shorter"] - 1).alias("end"), F.array_append(a["found"], F.struct(h["slug"], h["target"])).alias("found"))).otherwise(a))

@@ -109,3 +109,27 @@ def test_splitting_reads_captures_once(spark):
     rows = [(1, "- call Ann\n- email Bob"), (2, "email Ann, call Bob and then visit Cy"), (3, "read"), (4, None)]
     captures, seen = counted(spark, [(i, t, datetime.date(2026, 8, 20)) for i, t in rows], "capture int, text string, today date")
     assert sorted((r["capture"], r["text"]) for r in tasks.split(captures).collect())[:2] == [(1, "call Ann"), (1, "email Bob")] and seen.value == 4
+
+
+def rows_generated(node):
+    """How many rows the explodes of a plan that has run made."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_generated(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_generated(node.plan())
+    own = node.metrics().apply("numOutputRows").value() if kind == "GenerateExec" else 0
+    return own + sum(rows_generated(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_runs_of_words_are_made_where_a_title_begins_alone(spark, monkeypatch):
+    plans = []
+    keep = quotes.kept
+    monkeypatch.setattr(quotes, "kept", lambda df: plans.append(plan(df)) or keep(df))
+    said = [(i, " ".join(f"heat{i} of w{j}" for j in range(100)) + [" the heat of transit", ""][i > 0]) for i in range(20)]
+    notes, _ = counted(spark, said, "note bigint, text string")
+    titles = spark.createDataFrame([(100, "Heat of transit"), (101, "Transit"), (102, "one two three four five"), (103, "heat of")], "note bigint, title string")
+    found = quotes.mentions(notes, titles)
+    assert [tuple(r) for r in found.collect()] == [(0, 100)]
+    assert rows_generated(found._jdf.queryExecution().executedPlan()) < 20  # of 6,000 words, in runs of four sizes
+    assert [p.count("regexp_extract_all") for p in plans if "Generate" in p] == [1]  # each text is read as words once

@@ -82,6 +82,26 @@ def test_titles_as_one_alternation(spark):
     assert mentioned(spark, notes, [(n, t) for t, n in titles.items()]) == want and len(want) > 200
 
 
+def test_titles_that_share_their_first_words(spark):
+    """Places are looked up by three words: longer titles, ends of notes, repeated words and what stands between them still decide."""
+    titles = [(10, "a b c"), (11, "a b c d"), (12, "a b c d e f"), (13, "a b-c"), (14, "Alpha"), (15, "alpha beta"), (16, "a a a a a"), (17, "naïve Σίσυφος x")]
+    notes = [
+        (1, "a b c e, a b c d e f g"),
+        (2, "a b c d e"),
+        (3, "...alpha"),
+        (4, "a a a a a a a a a a a a"),
+        (5, "a b  c, a b\nc d"),
+        (6, "a b-c d"),
+        (7, ""),
+        (8, "... --"),
+        (9, "gamma alpha beta"),
+        (20, "NAÏVE σίσυφος X"),
+        (21, "alpha [[x|alpha beta]] beta"),
+        (None, "a b c"),
+    ]
+    assert mentioned(spark, notes, titles) == [(1, 10), (1, 12), (2, 11), (3, 14), (4, 16), (6, 10), (9, 15), (20, 17), (21, 14)]
+
+
 def test_definitions_that_wrap(spark):
     from studylake.operators import judgement
 
