@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DataType, IntegerType
 
 from ..functions.dates import let
 from . import segments
 from .passages import STOP, norm
-from .tasks import stripped, words
+from .tasks import words
 
 # fixed values: weights of the kinds of evidence, words of a term and of a defined one at most, a passage's own weight and what terms add at most
 BOLD, DEFINED, LISTED, ACRONYM = 2.0, 3.0, 2.5, 2.0
 TERM_WORDS, DEFINED_WORDS, TERM_CHARS = 6, 4, 3
 OWN_WEIGHT, MOST_EXTRA, SPREAD_STEP, MOST_SPREAD = 1.0, 9.0, 0.5, 1.5
 PROBE = 40  # fixed value: characters by which a passage is found in its note
-# fixed values: how terms are written, what isn't one, and the system's own labels
+# fixed values: how terms are written (each pattern first asks for the letters that begin it, as most places have others), what isn't one, and the system's own labels
 WRITTEN = (
-    ("bold", BOLD, False, 1, r"(?:\*\*|__)([^*_\n]{2,80}?)(?:\*\*|__)"),
-    ("definition", DEFINED, True, 1, r"(?:^|(?<=[.!?]\s))([A-Z][A-Za-z0-9'’\- ]{1,60}?)\s+(?:is|are|means|refers to|stands for|is defined as|may be defined as)\s+\S"),
-    ("called", DEFINED, True, 1, r"\b(?:is|are|was|were)\s+(?:called|known as|termed|referred to as)\s+([A-Za-z][A-Za-z0-9'’\- ]{2,40}?)(?=[.,;:)]|$)"),
+    ("bold", BOLD, False, 1, r"(?=[*_])(?:\*\*|__)([^*_\n]{2,80}?)(?:\*\*|__)"),
+    ("definition", DEFINED, True, 1, r"(?=[A-Z])(?:^|(?<=[.!?]\s))([A-Z][A-Za-z0-9'’\- ]{1,60}?)\s+(?:is|are|means|refers to|stands for|is defined as|may be defined as)\s+\S"),
+    ("called", DEFINED, True, 1, r"(?=[aiw])\b(?:is|are|was|were)\s+(?:called|known as|termed|referred to as)\s+([A-Za-z][A-Za-z0-9'’\- ]{2,40}?)(?=[.,;:)]|$)"),
     ("glossary", LISTED, False, 1, r"(?m)^\s*(?:[-*+]\s+)?(?:\*\*)?([A-Za-z][A-Za-z0-9'’\- ]{1,50}?)(?:\*\*)?\s*(?::|—|–|\s-\s)\s+\S"),
-    ("acronym", ACRONYM, False, 0, r"\(\s*[A-Z]{2,7}\s*\)|\b[A-Z]{2,7}\s*\("),
+    ("acronym", ACRONYM, False, 0, r"(?=[(A-Z])(?:\(\s*[A-Z]{2,7}\s*\)|\b[A-Z]{2,7}\s*\()"),
 )
+# what each match of WRITTEN holds, where spaces are single
+HELD = {
+    "bold": ("**", "__"),
+    "definition": (" is ", "are ", "means ", "refers to ", "stands for ", "may be defined as "),
+    "called": ("called", "known as", "termed", "referred to as"),
+    "glossary": (":", "—", "–", "-"),
+    "acronym": ("(",),
+}
 NOT_A_TERM = r"(?i)^(?:anything|something|everything|nothing|this|that|these|those|it|one|there|here|what|which|who|each|every|some|many|most|all)\b|\b(?:this|that|these|those)\b"
 LABELS = (
     "due note notes source from tags status date time example examples step steps q a why type mode hint worked choices created updated link links see".split()
@@ -37,90 +49,161 @@ def clean_term(term: Column) -> Column:
     return F.regexp_replace(flat, r"(?i)^(?:the|an|a)\s+", "")
 
 
-def marked_terms(passages: DataFrame) -> DataFrame:
-    """(note, place, kind, at, term, weight): every term that a passage (note, place, text) marks; kind counts WRITTEN, at the marks of a kind."""
-    flat = F.regexp_replace("text", r"\s+", " ")
-    marks = []
-    for i, (_, weight, in_line, group, pattern) in enumerate(WRITTEN):
-        found = F.regexp_extract_all(flat if in_line else F.col("text"), F.lit(pattern), F.lit(group))
-        marks.append(F.transform(found, _mark(i, weight)))
-    rows = passages.select("note", "place", F.explode(F.concat(*marks)).alias("m")).select("note", "place", "m.*")
-    kind = F.element_at(F.array(*(F.lit(k[0]) for k in WRITTEN)), F.col("kind") + 1)
-    rows = rows.withColumn("term", F.when(kind == "acronym", F.regexp_extract("term", "[A-Z]{2,7}", 0)).otherwise(F.col("term"))).withColumn("term", clean_term(F.col("term")))
-    n = F.size(words(F.col("term")))
-    told = (kind != "definition") | (~F.col("term").rlike(NOT_A_TERM) & (n <= DEFINED_WORDS))
-    real = (F.length("term") >= TERM_CHARS) & (n <= TERM_WORDS) & ~F.lower("term").isin(LABELS) & ~norm(F.col("term")).isin(STOP)
-    return rows.filter(told & real)
+def together(passages: DataFrame) -> DataFrame:
+    """(note, passages): the passages (note, place, text) of each note as one row, in order."""
+    return passages.groupBy("note").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("passages"))
 
 
-def _mark(kind: int, weight: float):
-    return lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), t.alias("term"), F.lit(weight).alias("weight"))
+def flat(text: Column) -> Column:
+    """A text with single spaces for its white space."""
+    spaced = reduce(or_, (F.contains(text, F.lit(x)) for x in ("  ", "\n", "\t", "\r", "\f", "\v")))
+    return F.when(spaced, F.regexp_replace(text, r"\s+", " ")).otherwise(text)
 
 
-def spread(terms: DataFrame, passages: DataFrame) -> DataFrame:
-    """(note, key, passages): in how many passages of its note a term (note, key: in small letters) stands between word boundaries.
+def marks(passage: Column) -> Column:
+    """Every term that a passage (place, text, flat) marks, as (key, lighter, place, kind, at, term); kind counts WRITTEN, at the marks of a kind, lighter is the weight below zero.
 
-    Each passage meets the terms of its note as one row. It is read as words and what stands between; where the
-    first word of a term stands, runs of as many words as terms have are looked up among the terms. Only terms
-    that are found leave the row. Terms that begin or end with something else than a word are looked for one by one.
+    A pattern is tried where one of the pieces stands that each of its matches holds.
     """
-    edged = F.col("key").rlike(r"(?Us)^\w(?:.*\w)?$")
-    said = passages.select("note", "place", F.lower("text").alias("said"))
-    words_of = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))
-    counted = terms.filter(edged).select("note", "key", words_of(F.col("key")).alias("w"))
-    named = counted.groupBy("note").agg(F.collect_set("key").alias("keys"), F.collect_set(F.get("w", F.lit(0))).alias("firsts"), F.collect_set(F.size("w")).alias("sizes"))
-    rows = said.join(named.hint("merge"), "note").select("note", "place", "keys", "firsts", "sizes", F.regexp_extract_all("said", F.lit(r"(?U)\w+|[^\w]+"), F.lit(0)).alias("p"))
+    terms = []
+    for i, (name, weight, in_line, group, pattern) in enumerate(WRITTEN):
+        said = passage["flat" if in_line else "text"]
+        held = reduce(or_, (F.contains(said, F.lit(x)) for x in HELD[name]))
+        found = F.when(held, F.regexp_extract_all(said, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        bare = F.transform(found, clean_term) if name != "acronym" else F.transform(found, lambda t: clean_term(F.regexp_extract(t, "[A-Z]{2,7}", 0)))
+        terms.append(F.filter(F.transform(bare, _mark(passage["place"], i, weight)), _is_term(name)))
+    return F.concat(*terms)
+
+
+def _mark(place: Column, kind: int, weight: float):
+    return lambda t, i: F.struct(F.lower(t).alias("key"), F.lit(-weight).alias("lighter"), place.alias("place"), F.lit(kind).alias("kind"), i.alias("at"), t.alias("term"))
+
 
-    def runs(p: Column, heads: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_contains(heads, F.get(p, i)))
-        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter("sizes", lambda n: i + 2 * n - 1 <= F.size(p)), lambda n: F.array_join(F.slice(p, i + 1, 2 * n - 1), ""))))
+def _is_term(name: str):
+    few = lambda t: F.size(words(t)) <= (DEFINED_WORDS if name == "definition" else TERM_WORDS)
+    real = lambda t: (F.length(t) >= TERM_CHARS) & few(t) & ~F.lower(t).isin(LABELS) & ~norm(t).isin(STOP)
+    return lambda m: real(m["term"]) & ~m["term"].rlike(NOT_A_TERM) if name == "definition" else real(m["term"])
 
-    held = let(F.col("p"), lambda p: let(F.array_intersect(p, F.col("firsts")), lambda heads: F.when(F.size(heads) > 0, F.array_intersect(runs(p, heads), F.col("keys")))))
-    found = rows.filter(F.size("p") > 0).select("note", "place", F.explode(held).alias("key"))
-    literal = F.regexp_replace("key", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    odd = terms.filter(~edged).join(said, "note").filter(F.contains("said", F.col("key"))).filter(F.rlike("said", F.concat(F.lit(r"(?U)(?<!\w)"), literal, F.lit(r"(?!\w)"))))
-    return found.select("note", "key", "place").unionByName(odd.select("note", "key", "place")).groupBy("note", "key").agg(F.countDistinct("place").alias("passages"))
+
+def _once(kind: DataType):
+    """A Python helper; texts come a hundred at a time, not by the thousands as with Arrow, and the optimizer may not copy it into functions of arrays, where it can't be called."""
+    return lambda f: F.udf(f, kind, useArrow=False).asNondeterministic()
+
+
+@_once(ArrayType(ArrayType(IntegerType())))
+def holding(said: list[str], keys: list[str]) -> list[list[int]]:
+    """The numbers of the passages that hold each key, within words too."""
+    return [[i for i, text in enumerate(said) if key in text] for key in keys]
+
+
+def naming(key: Column, said: Column, held: Column) -> Column:
+    """In how many passages (said, in small letters; those numbered held have it) a term (key, likewise) stands between word boundaries.
+
+    In its pattern the term comes first, as letters alone, so that Java skips to it; then what is around it is asked for.
+    """
+    literal = F.regexp_replace(key, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    whole = F.concat(F.lit("(?U)"), literal, F.lit(r"(?<!\w"), literal, F.lit(r")(?!\w)"))
+    return let(whole, lambda w: F.size(F.filter(held, lambda i: F.regexp_instr(F.get(said, i), w) > 0)))  # which, unlike rlike, keeps a pattern for the next text
+
+
+def said_of(passages: str = "passages") -> Column:
+    return F.transform(passages, lambda p: F.lower(F.coalesce(p["text"], F.lit(""))))
+
+
+def spread(terms: DataFrame, passages: DataFrame) -> DataFrame:
+    """(note, key, passages): in how many passages of its note a term (note, key: in small letters) stands between word boundaries; those in none are left out."""
+    named = terms.groupBy("note").agg(F.collect_set("key").alias("keys"))
+    rows = together(passages).select("note", said_of().alias("said")).join(named.hint("merge"), "note").withColumn("held", holding("said", "keys"))
+    counts = F.transform("keys", lambda k, i: F.struct(k.alias("key"), naming(k, F.col("said"), F.get("held", i)).cast("bigint").alias("passages")))
+    return rows.select("note", F.inline(counts)).filter("passages > 0")
+
+
+def with_terms(rows: DataFrame) -> DataFrame:
+    """rows (note, passages) with terms (term, place, weight, source): each term of a note once, as it is marked most strongly, then first; more weight for each further passage that names it.
+
+    A note is read in its row: nothing is shuffled. Marks are sorted by term, and the first of each is taken.
+    """
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+    rows = rows.withColumn("lines", F.transform("passages", lambda p: F.struct(p["place"].alias("place"), text(p).alias("text"), flat(text(p)).alias("flat"))))
+    rows = rows.withColumn("marks", F.sort_array(F.flatten(F.transform("lines", marks)))).drop("lines")
+    rows = rows.withColumn("first", F.filter("marks", lambda m, i: (i == 0) | (F.get("marks", i - 1)["key"] != m["key"]))).drop("marks").withColumn("said", said_of())
+    rows = rows.withColumn("held", holding("said", F.col("first")["key"]))
+    source = lambda kind: F.element_at(F.array(*(F.lit("definition" if k[0] == "called" else k[0]) for k in WRITTEN)), kind + 1)
+    more = lambda m, held: F.when(F.size(held) > 1, F.greatest(F.lit(0), naming(m["key"], F.col("said"), held) - 1)).otherwise(0)
+    extra = lambda m, i: F.least(F.lit(MOST_SPREAD), more(m, F.get("held", i)) * SPREAD_STEP)
+    terms = F.transform("first", lambda m, i: F.struct(m["term"].alias("term"), m["place"].alias("place"), (extra(m, i) - m["lighter"]).alias("weight"), source(m["kind"]).alias("source")))
+    return rows.withColumn("terms", terms).drop("first", "said", "held")
 
 
 def key_terms(passages: DataFrame) -> DataFrame:
-    """(note, term, place, weight, source): each term of a note once, as it is marked most strongly, then first; more weight for each further passage that names it."""
-    rows = marked_terms(passages).withColumn("key", F.lower("term"))
-    strongest = F.max_by(F.struct("term", "place", "weight", "kind"), F.struct("weight", -F.col("place"), -F.col("kind"), -F.col("at"))).alias("x")
-    best = rows.groupBy("note", "key").agg(strongest).select("note", "key", "x.*")
-    more = spread(best.select("note", "key"), passages)
-    source = F.element_at(F.array(*(F.lit("definition" if k[0] == "called" else k[0]) for k in WRITTEN)), F.col("kind") + 1)
-    extra = F.least(F.lit(MOST_SPREAD), F.greatest(F.lit(0.0), (F.coalesce("passages", F.lit(0)) - 1) * SPREAD_STEP))
-    return best.join(more, ["note", "key"], "left").select("note", "term", "place", (F.col("weight") + extra).alias("weight"), source.alias("source"))
+    """(note, term, place, weight, source): the terms of each note, as with_terms has them."""
+    return terms_of(together(passages))
 
 
-def with_headings(notes: DataFrame, passages: DataFrame) -> DataFrame:
-    """(note, place, heading): the heading over the beginning of each passage (note, place, text) in its note (note, text), '' above the first; a heading has its title on its line.
+def terms_of(rows: DataFrame) -> DataFrame:
+    """The terms of notes that have their passages in their row (note, passages)."""
+    terms = F.transform("terms", lambda t: t)  # of a bare column Spark asks first whether it is empty, and so makes it twice
+    return with_terms(rows.select("note", "passages")).select("note", F.inline(terms))
+
+
+def led(events: str, body: Callable[[Column, Column], Column]) -> Column:
+    """body of each event whose order is 0 and of those that follow it before the next such one; there is an event."""
+    e = F.col(events)
+    leads = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: F.get(e, i)["order"] == 0)
+    return let(leads, lambda at: F.transform(at, lambda i, k: body(F.get(e, i), F.slice(e, i + 2, F.coalesce(F.get(at, k + 1), F.size(e)) - i - 1))))
+
+
+@_once(ArrayType(IntegerType()))
+def begins(text: str, probes: list[str | None]) -> list[int]:
+    """Where each probe is found in a text, from 1: not before the one found last, else anywhere, else 0; one without characters is nowhere."""
+    cursor, found = 0, []
+    for probe in probes:
+        at = text.find(probe, cursor) if probe else -1
+        at = text.find(probe) if probe and at < 0 else at
+        cursor = cursor if at < 0 else at
+        found.append(at + 1)
+    return found
+
+
+def titles(text: Column) -> Column:
+    """(pos, title): where the headings of a text stand, from 1, that have a title on their line."""
+    none = F.struct(F.lit(1).alias("pos"), F.array().cast("array<struct<pos:int,title:string>>").alias("found"))
+    more = lambda a, t: F.when(t != "", F.array_append(a["found"], F.struct(a["pos"].alias("pos"), t.alias("title")))).otherwise(a["found"])
+    found = lambda a, line: F.when(F.startswith(line, F.lit("#")), let(F.trim(F.regexp_extract(line, segments.HEADING, 2)), lambda t: more(a, t))).otherwise(a["found"])
+    step = lambda a, line: F.struct((a["pos"] + F.length(line) + 1).alias("pos"), found(a, line).alias("found"))
+    return F.aggregate(F.split(text, "\n"), none, step)["found"]
+
+
+def probe_of(text: Column) -> Column:
+    """The first PROBE characters of a text without the white space around it; of what is behind them no more is read than that white space isn't all."""
+    return F.rtrim(F.regexp_extract(text, rf"(?s)^\s*+(.{{{PROBE - 1}}}(?=\s*+\S).|.{{0,{PROBE - 2}}}\S)", 1))
+
+
+def with_heading_names(rows: DataFrame) -> DataFrame:
+    """rows (note, text, passages) with headings, the one over the beginning of each passage, '' above the first; a heading has its title on its line.
 
     A passage begins where its first characters are found, not before the beginning of the one before; one that
     isn't found has the heading of the one before. Headings and beginnings are put in one order, and each
     beginning takes the last heading ahead of it.
     """
-    probe = F.rtrim(F.substring(stripped(F.col("text")), 1, PROBE))
-    asked = passages.groupBy("note").agg(F.array_sort(F.collect_list(F.struct("place", probe.alias("probe")))).alias("asked"))
-    both = notes.select("note", F.coalesce("text", F.lit("")).alias("text")).join(asked, "note")
-    start = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<int>").alias("found"))
-
-    def step(a: Column, x: Column) -> Column:
-        after = F.call_function("locate", x["probe"], F.col("text"), a["cursor"])
-        at = F.when(x["probe"] == "", 0).when(after > 0, after).otherwise(F.call_function("locate", x["probe"], F.col("text"), F.lit(1)))
-        return F.struct(F.when(at > 0, at).otherwise(a["cursor"]).alias("cursor"), F.array_append(a["found"], at.cast("int")).alias("found"))
-
-    places = both.select("note", F.explode(F.arrays_zip(F.transform("asked", lambda x: x["place"]).alias("place"), F.aggregate("asked", start, step)["found"].alias("pos"))).alias("z")).select("note", "z.*")
-    lines = notes.select("note", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
-    before = W.partitionBy("note").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    marks = lines.withColumn("pos", (F.coalesce(F.sum(F.length("said") + 1).over(before), F.lit(0)) + 1).cast("int")).filter(F.col("said").rlike(segments.HEADING))
-    marks = marks.select("note", "pos", F.trim(F.regexp_extract("said", segments.HEADING, 2)).alias("title")).filter("title <> ''")
-    events = marks.withColumns({"place": F.lit(None).cast("int"), "order": F.lit(0)}).unionByName(places.filter("pos > 0").withColumns({"title": F.lit(None).cast("string"), "order": F.lit(1)}), allowMissingColumns=True)
-    carried = F.last("title", ignorenulls=True).over(W.partitionBy("note").orderBy("pos", "order", "place").rowsBetween(W.unboundedPreceding, 0))
-    known = events.withColumn("heading", F.coalesce(carried, F.lit(""))).filter("order = 1").select("note", "place", "heading")
-    rows = places.select("note", "place").join(known, ["note", "place"], "left")
-    above = F.last("heading", ignorenulls=True).over(W.partitionBy("note").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("note", "place", F.coalesce(above, F.lit("")).alias("heading"))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("begins", begins(text, F.transform("passages", lambda p: probe_of(p["text"]))))
+    event = lambda pos, order, at, title: F.struct(pos.alias("pos"), F.lit(order).alias("order"), at.alias("at"), title.alias("title"))
+    heads = F.transform(titles(text), lambda m: event(m["pos"], 0, F.lit(-1), m["title"]))
+    told = F.filter(F.transform("begins", lambda pos, i: event(pos, 1, i, F.lit(""))), lambda x: x["pos"] > 0)
+    rows = rows.withColumn("by_pos", F.sort_array(F.concat(F.array(event(F.lit(0), 0, F.lit(-1), F.lit(""))), heads, told)))
+    one = lambda at, order, title: F.struct(at.alias("at"), F.lit(order).alias("order"), title.alias("title"))
+    known = F.flatten(led("by_pos", lambda head, tail: F.transform(tail, lambda x: one(x["at"], 0, head["title"]))))
+    lost = F.filter(F.transform("begins", lambda pos, i: F.when(pos == 0, one(i, 1, F.lit("")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("by_at", F.sort_array(F.concat(F.array(one(F.lit(-1), 0, F.lit(""))), known, lost)))
+    names = F.flatten(led("by_at", lambda head, tail: F.array_repeat(head["title"], F.size(tail) + 1)))
+    return rows.withColumn("names", names).withColumn("headings", F.slice("names", 2, F.size("passages"))).drop("begins", "by_pos", "by_at", "names")
+
+
+def with_headings(notes: DataFrame, passages: DataFrame) -> DataFrame:
+    """(note, place, heading): the heading over the beginning of each passage (note, place, text) in its note (note, text), as with_heading_names has it."""
+    rows = with_heading_names(notes.select("note", "text").join(together(passages), "note"))
+    return rows.select("note", F.inline(F.zip_with("passages", "headings", lambda p, h: F.struct(p["place"].alias("place"), h.alias("heading")))))
 
 
 def build(notes: DataFrame, passages: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
@@ -128,18 +211,30 @@ def build(notes: DataFrame, passages: DataFrame, proposed: DataFrame | None = No
 
     A proposed term counts where its passages name it; one that is marked as well gets the greater weight and a half more.
     """
-    terms = key_terms(passages)
-    if proposed is not None:
-        said = passages.select("note", F.col("place").alias("where"), norm(F.col("text")).alias("said"))
+    return guide(notes.select("note", "text").join(together(passages), "note"), proposed)
+
+
+def guide(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """The guide of notes that have their passages in their row (note, text, passages), each note once and with a passage at least."""
+    if proposed is None:
+        rows = with_terms(rows)
+    else:
+        terms = terms_of(rows)
+        said = rows.select("note", F.inline("passages")).select("note", F.col("place").alias("where"), norm(F.col("text")).alias("said"))
         asked = proposed.withColumn("term", clean_term(F.col("term"))).filter((norm(F.col("term")) != "") & (F.size(words(F.col("term"))) <= TERM_WORDS))
         held = asked.join(said, "note").filter(F.contains("said", norm(F.col("term"))))
         own = held.groupBy("note", "term", "place", "importance").agg(F.min(F.struct(F.col("where") != F.col("place"), "where"))["where"].alias("where"))
         own = own.select("note", F.lower("term").alias("key"), F.col("term").alias("told"), "where", (OWN_WEIGHT + F.col("importance")).alias("heavy"))
         both = terms.withColumn("key", F.lower("term")).join(own, ["note", "key"], "full_outer")
         weight = F.when(F.col("heavy").isNull(), F.col("weight")).when(F.col("weight").isNull(), F.col("heavy")).otherwise(F.greatest("weight", "heavy") + 0.5)
-        terms = both.select("note", F.coalesce("term", "told").alias("term"), F.coalesce("place", "where").alias("place"), weight.alias("weight"), F.coalesce("source", F.lit("model")).alias("source"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.lower("term").alias("key"), "term"))).alias("t")
-    by_place = terms.groupBy("note", "place").agg(F.sum("weight").alias("extra"), listed)
-    rows = with_headings(notes, passages).join(by_place, ["note", "place"], "left")
-    names = F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>"))
-    return rows.select("note", "place", "heading", (OWN_WEIGHT + F.least(F.lit(MOST_EXTRA), F.coalesce("extra", F.lit(0.0)))).alias("weight"), names.alias("terms"))
+        terms = both.select("note", F.coalesce("term", "told").alias("term"), F.coalesce("place", "where").alias("place"), weight.alias("weight"))
+        rows = rows.join(terms.groupBy("note").agg(F.collect_list(F.struct("term", "place", "weight")).alias("terms")), "note", "left")
+    rows = with_heading_names(rows)
+    event = lambda place, order, heading, weight, term: F.struct(place.alias("place"), F.lit(order).alias("order"), heading.alias("heading"), (-weight).alias("lighter"), F.lower(term).alias("key"), term.alias("term"))
+    own = F.zip_with("passages", "headings", lambda p, h: event(p["place"], 0, h, F.lit(0.0), F.lit("")))  # inside a function headings would be made for each passage
+    listed = F.transform(F.coalesce(F.when(F.col("note").isNotNull(), F.col("terms")), F.array()), lambda t: event(t["place"], 1, F.lit(""), t["weight"], t["term"]))
+    rows = rows.select("note", F.sort_array(F.concat(own, listed)).alias("events"))  # each passage, then its terms; no term is of a note without a key
+    extra = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a - t["lighter"])
+    weigh = lambda ts: OWN_WEIGHT + F.least(F.lit(MOST_EXTRA), extra(ts))
+    done = led("events", lambda p, ts: F.struct(p["place"].alias("place"), p["heading"].alias("heading"), weigh(ts).alias("weight"), F.transform(ts, lambda t: t["term"]).alias("terms")))
+    return rows.select("note", F.inline(done))

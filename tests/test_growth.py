@@ -133,3 +133,25 @@ def test_runs_of_words_are_made_where_a_title_begins_alone(spark, monkeypatch):
     assert [tuple(r) for r in found.collect()] == [(0, 100)]
     assert rows_generated(found._jdf.queryExecution().executedPlan()) < 20  # of 6,000 words, in runs of four sizes
     assert [p.count("regexp_extract_all") for p in plans if "Generate" in p] == [1]  # each text is read as words once
+
+
+def test_guides_read_notes_and_passages_once(spark):
+    notes, seen = counted(spark, [(i, "## Heat\n**Heat** flows\nheat is called energy.") for i in range(5)], "note bigint, text string")
+    passages, read = counted(spark, [(i, p, x) for i in range(5) for p, x in enumerate(("**Heat** flows", "heat is called energy."))], "note bigint, place int, text string")
+    got = {(r["note"], r["place"]): (r["heading"], r["weight"], r["terms"]) for r in guides.build(notes, passages).collect()}
+    assert got == {(i, p): ("Heat", *x) for i in range(5) for p, x in enumerate([(3.5, ["Heat"]), (4.0, ["energy"])])}
+    assert (seen.value, read.value) == (5, 10)
+
+
+def test_guides_shuffle_each_document_once(spark):
+    for name in ("note_guides", "key_terms"):
+        rows = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert [plan(rows).count(x) for x in ("FileScan", "Exchange", "Join", "Window")] == [1, 1, 0, 0]
+
+
+def test_headings_are_carried_once_a_note(spark):
+    """Not once a passage, as where the optimizer puts what makes them into a function of the passages."""
+    rows = registry.queries()["note_guides"](spark, "/root/testdata/sf0.001")
+    made = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_repeat" in line]
+    assert len(made) == 1 and made[0].index("zip_with") >= 0
+    assert "array_repeat" not in made[0][made[0].index("zip_with") :].split("lambdafunction(struct(place")[-1]
